@@ -53,11 +53,12 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows with about `most` bytes of text; a longer row comes alone."""
+    """Runs of at most 65,536 whole rows with about `most` bytes of text; a longer row comes alone."""
     _, offs = texts(batch.column(text))
     lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
+        hi = min(hi, lo + (1 << 16))
         yield batch.slice(lo, hi - lo)
         lo = hi
 
