@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, repetition, sharding
+from . import langid, minhash, mixing, repetition, sharding, suffix_dedup
 from ._spark import held_out
 
 
@@ -42,12 +42,17 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_repetition": op3_repetition,
     "op6_langid": op6_langid,
     "op9_minhash": op9_minhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {}
