@@ -21,6 +21,8 @@ SIMILAR = (3, 4)
 BANDS, ROWS = 48, 5
 #: Bits of an odd sketch, in 64-bit words.
 SKETCH_WORDS = 16
+#: Bits of the parity bitmap of a whole set, in 64-bit words.
+SET_WORDS = 32
 _SAMPLES = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(99))
 _MUL = _rng.integers(0, 2**63, _SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,6 +59,18 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view("<i8")
 
 
+def parity_bitmaps(code: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Odd sketches of the whole sets: every shingle flips one of the bits (shape: rows, words)."""
+    bits, out = SET_WORDS * 64, np.zeros((rows, SET_WORDS), np.int64)
+    at = row * bits + (code >> np.uint64(48)).astype(np.int64) % bits
+    for lo in range(0, rows, 2048):
+        hi = min(rows, lo + 2048)
+        own = at[slice(*np.searchsorted(row, [lo, hi]))] - lo * bits
+        flips = np.bincount(own, minlength=(hi - lo) * bits).astype(np.uint8) & 1
+        out[lo:hi] = np.packbits(flips, bitorder="little").view("<i8").reshape(-1, SET_WORDS)
+    return out
+
+
 def odd_limit(least: float = 0.75, sigmas: float = 5.0) -> int:
     """XOR population count that a pair of similarity `least` exceeds by chance at `sigmas` deviations only.
 
@@ -70,7 +84,7 @@ def odd_limit(least: float = 0.75, sigmas: float = 5.0) -> int:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces the text by `n_shingles`, the set's 128-bit name `set_hi` and `set_lo`, `bands` and `sketch`; empty sets: nulls."""
+    """Replaces the text by `n_shingles`, the set's 128-bit name `set_hi` and `set_lo`, `bands`, `sketch` and `parity`; empty sets: nulls."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text]
     longs = T.ArrayType(T.LongType())
@@ -96,20 +110,26 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                     bands[some] = _text.mix(band).T.view(np.int64)
                     sketch[some] = odd_sketches(samples)
                 none = size == 0
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, sketch)]
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, sketch, parity_bitmaps(code, row, rows))]
                 own = [pa.array(size.astype(np.int64)), pa.array(hi, mask=none), pa.array(lo, mask=none), *lists]
-                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], *own], [*kept, "n_shingles", "set_hi", "set_lo", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], *own], [*kept, "n_shingles", "set_hi", "set_lo", "bands", "sketch", "parity"])
 
-    return docs.select(*kept, text).mapInArrow(run, schema.add("bands", longs).add("sketch", longs))
+    return docs.select(*kept, text).mapInArrow(run, schema.add("bands", longs).add("sketch", longs).add("parity", longs))
 
 
 def likely(limit: int) -> Callable[[Column, Column], Column]:
-    """Odd-sketch test of two signatures struct(n, sketch): sizes that allow the similarity, and few odd bits in the XOR."""
+    """Odd-sketch test of two signatures: sizes that allow the similarity, and few odd bits in the XORs.
+
+    A bit of the whole sets' XOR is odd only if the sets differ in it, so that count never exceeds the symmetric
+    difference, which is (|A| + |B|) / 7 at most where the similarity is 0.75. The samples' sketch decides for sets
+    so large that their bitmaps fill up.
+    """
 
     def test(a: Column, b: Column) -> Column:
         odd = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(SKETCH_WORDS)), F.lit(0))
+        differ = sum((F.bit_count(a[f"p{i}"].bitwiseXOR(b[f"p{i}"])) for i in range(SET_WORDS)), F.lit(0))
         small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-        return (small * SIMILAR[1] >= large * SIMILAR[0]) & (odd <= limit)
+        return (small * SIMILAR[1] >= large * SIMILAR[0]) & (differ * (SIMILAR[0] + SIMILAR[1]) <= (a["n"] + b["n"]) * (SIMILAR[1] - SIMILAR[0])) & (odd <= limit)
 
     return test
 
@@ -152,7 +172,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"))
     same, _ = materialize(full.select("doc_id", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
     nodes = full.join(classes.select("set_hi", "set_lo", F.col("node").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["set_hi", "set_lo"])
-    sig = F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)])
+    sig = F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)], *[F.col("parity")[i].alias(f"p{i}") for i in range(SET_WORDS)])
     nodes, _ = materialize(nodes.select(F.col("doc_id").alias("node"), sig.alias("sig"), "bands"))
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
