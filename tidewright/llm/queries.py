@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, repetition, sharding, suffix_dedup
+from . import langid, minhash, mixing, quality_cnn, repetition, sharding, suffix_dedup, toxicity
 from ._spark import held_out
 
 
@@ -31,6 +31,22 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _in_fold_0() -> Column:
+    return F.coalesce(held_out("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), "toxic"))
+    return toxicity.compare(docs, model).select("doc_id", _in_fold_0(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality_cnn.train(docs, table(spark, sf_dir, "labels").filter(held_out("doc_id", 5) != 0))
+    return quality_cnn.score(docs, net).select("doc_id", _in_fold_0(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = langid.train(docs.filter(langid.learns()))
@@ -50,6 +66,8 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_repetition": op3_repetition,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality_cnn": op5_quality_cnn,
     "op6_langid": op6_langid,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
