@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, quality_cnn, repetition, sharding, suffix_dedup, toxicity
+from . import decontam, langid, line_dedup, minhash, mixing, quality_cnn, repetition, sharding, suffix_dedup, toxicity
 from ._spark import held_out
 
 
@@ -54,6 +54,16 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("hits.item_id").alias("item_ids"), F.size("hits").cast("long").alias("n_items"), "kept")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.fuzzy_line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,6 +79,8 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_cnn": op5_quality_cnn,
     "op6_langid": op6_langid,
+    "op7_decontamination": op7_decontamination,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
