@@ -2,9 +2,64 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.llm import decontam, langid, minhash, mixing, sharding
+from tidewright.llm._spark import materialize
+
+SHARDS = 8
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those whose text is null or has no letters go."""
+    profiles = langid.train(docs.filter(langid.learns()))
+    return langid.predict(docs, profiles).filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id, once; rows without doc_id stay."""
+    found = minhash.near_duplicates(docs)
+    ids = found.filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.contamination(docs, items).filter("kept").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: each document as often as the mix takes it."""
+    return mixing.mix(docs, SHARDS).withColumn("place", F.explode("places")).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot there."""
+    return sharding.shard(docs, SHARDS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+#: No SQL: the near-duplicate stage's sketches and the mix's permutation are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to `documents`; each stage's rows are written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs, _ = materialize(docs)
+    return docs
