@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +62,38 @@ def width(spark: SparkSession) -> int:
 def held_out(doc_id: str, modulus: int):
     """crc32 of the doc_id's decimal text, modulo `modulus` (null doc_id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
+
+
+#: A filter of `probably_in` has so many bits at most (8 MB); with many more keys than fit it passes everything.
+FILTER_BITS = 1 << 26
+
+
+def probably_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose `key` (not null) is among `keys`, and a few others, without a shuffle of `df`.
+
+    A Bloom filter of fixed largest size goes to the executors, so that a following join moves only rows that can match.
+    """
+    spark, n = df.sparkSession, keys.count()
+    if n * 4 > FILTER_BITS:
+        return df
+    bits = min(FILTER_BITS, 1 << max(12, (16 * n).bit_length()))
+
+    def probes(c):
+        h = F.xxhash64(c)
+        return F.array(h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1))
+
+    at = keys.select(F.explode(probes(F.col(keys.columns[0]))).alias("p"))
+    found = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toArrow()  # FILTER_BITS / 64 rows at most
+    table = np.zeros(bits // 64, np.int64)
+    table[found["w"].to_numpy()] = found["x"].to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            p = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+            hit = ((words[p >> 6] >> (p & 63)) & 1).all(1)
+            yield batch.select(columns).filter(pa.array(hit))
+
+    return df.select(*columns, probes(F.col(key)).alias("_probes")).mapInArrow(run, df.schema)

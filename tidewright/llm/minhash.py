@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import _text
 from ._graph import components_in_buckets
-from ._spark import materialize, small_batches
+from ._spark import materialize, probably_in, small_batches
 
 SHINGLE = 5
 SIMILAR = (3, 4)
@@ -136,8 +136,9 @@ def likely(limit: int) -> Callable[[Column, Column], Column]:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets have 100 * intersection >= 75 * union."""
-    ends = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    near = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(ends, "_id", "left_semi")
+    ends, _ = materialize(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct())
+    near = docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    near = probably_in(near, "_id", ends).join(ends, "_id", "left_semi")
     # One row a document: rows that share a doc_id are tried by the least text.
     near, _ = materialize(near.groupBy("_id").agg(F.min("_text").alias("_text")))
     both = pairs.join(near.select(F.col("_id").alias("a"), F.col("_text").alias("x")), "a").join(near.select(F.col("_id").alias("b"), F.col("_text").alias("y")), "b")
@@ -169,15 +170,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sigs, _ = materialize(signatures(base))
     full = sigs.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"))
-    same, _ = materialize(full.select("doc_id", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
-    nodes = full.join(classes.select("set_hi", "set_lo", F.col("node").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["set_hi", "set_lo"])
+    classes, _ = materialize(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")))
+    copies = full.select("doc_id", "set_hi", "set_lo").join(classes.filter("node < last"), ["set_hi", "set_lo"])
+    same, _ = materialize(copies.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
+    buckets = full.select(F.explode("bands").alias("bucket"), "set_hi")
+    shared = buckets.groupBy("bucket").agg(F.min("set_hi").alias("x"), F.max("set_hi").alias("y")).filter("x <> y").select("bucket")
+    named = buckets.join(shared, "bucket", "left_semi").distinct()
+    members, _ = materialize(named.join(classes.select("set_hi", "node"), "set_hi").select("bucket", "node"))
+    nodes, _ = materialize(members.select("node").distinct())
     sig = F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)], *[F.col("parity")[i].alias(f"p{i}") for i in range(SET_WORDS)])
-    nodes, _ = materialize(nodes.select(F.col("doc_id").alias("node"), sig.alias("sig"), "bands"))
-    buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members, _ = materialize(buckets.join(shared, "bucket", "left_semi"))
-    roots = components_in_buckets(members, nodes.select("node", "sig"), same, likely(odd_limit()), lambda pairs: confirmed(pairs, base, "doc_id", "text"))
+    drawn = probably_in(full.select("doc_id", "n_shingles", "sketch", "parity"), "doc_id", nodes)
+    sketched, _ = materialize(drawn.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), sig.alias("sig")))
+    roots = components_in_buckets(members, sketched, same, likely(odd_limit()), lambda pairs: confirmed(pairs, base, "doc_id", "text"))
     out = sigs.select("doc_id", "n_shingles").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
