@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import held_out, materialize, small_batches
+from ._spark import held_out, materialize, probably_in, small_batches
 
 #: Counts are kept in two hashed tables of this many slots each; a word's count is the smaller of its two.
 SLOT_BITS = 20
@@ -193,4 +193,6 @@ def compare(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame:
     """Rows to learn from: a label, and crc32(doc_id) modulo 5 not 0. Of several labels of a doc_id the largest counts."""
     known = labels.filter(F.col(label).isNotNull() & (held_out(doc_id, 5) != 0)).groupBy(doc_id).agg(F.max(label).alias(label))
-    return docs.filter(held_out(doc_id, 5) != 0).join(known, doc_id)
+    known, _ = materialize(known)
+    near = probably_in(docs.filter(held_out(doc_id, 5) != 0), doc_id, known.select(doc_id))
+    return near.join(known.hint("merge"), doc_id)  # labels grow with the documents: never broadcast
