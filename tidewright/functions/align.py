@@ -57,17 +57,23 @@ def frame_count(start: int, end: int, hz: int) -> int:
     return (end - start) * hz // NANOS + 1
 
 
+def floor_div(a: Column, k: int | Column) -> Column:
+    """Floor of a / k for a positive k, in longs: the `/` of columns is a division of doubles."""
+    k = k if isinstance(k, Column) else F.lit(k).cast("long")
+    return F.call_function("div", a - F.pmod(a, k), k)
+
+
 def frame_time(frame: Column, start: int, hz: int) -> Column:
     """Time of a frame: start + floor(frame * 1e9 / hz), by whole seconds and the rest so that no product overflows."""
-    whole = F.floor(frame / F.lit(hz)).cast("long")
     rest = F.pmod(frame, F.lit(hz).cast("long"))
-    return F.lit(start).cast("long") + whole * F.lit(NANOS) + F.floor((rest * F.lit(NANOS)).cast("decimal(38,0)") / F.lit(hz)).cast("long")
+    return F.lit(start).cast("long") + floor_div(frame, hz) * F.lit(NANOS).cast("long") + floor_div(rest * F.lit(NANOS).cast("long"), hz)
 
 
 def frame_at_or_after(ts: Column, start: int, hz: int) -> Column:
-    """The first frame whose time is not before ts: ceil((ts - start) * hz / 1e9) in decimals."""
-    span = (ts - F.lit(start).cast("long")).cast("decimal(38,0)")
-    return F.ceil(span * F.lit(hz).cast("decimal(10,0)") / F.lit(NANOS).cast("decimal(10,0)")).cast("long")
+    """The first frame whose time is not before ts: ceil((ts - start) * hz / 1e9), by whole seconds and the rest."""
+    span = ts - F.lit(start).cast("long")
+    rest = F.pmod(span, F.lit(NANOS).cast("long")) * F.lit(hz).cast("long")
+    return floor_div(span, NANOS) * F.lit(hz).cast("long") + floor_div(rest + F.lit(NANOS - 1), NANOS)
 
 
 def due_ns(ts: Column, first: Column | int, speed: float) -> Column:
@@ -79,4 +85,4 @@ def due_ns(ts: Column, first: Column | int, speed: float) -> Column:
 def lag_us(now: Column | int, ts: Column) -> Column:
     """Age of a sample in whole microseconds, never negative."""
     now = now if isinstance(now, Column) else F.lit(now).cast("long")
-    return F.floor(F.greatest(now - ts, F.lit(0).cast("long")) / F.lit(1000)).cast("long")
+    return floor_div(F.greatest(now - ts, F.lit(0).cast("long")), 1000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import frame_at_or_after, frame_count, frame_time
+from ..functions.align import floor_div, frame_at_or_after, frame_count, frame_time
 from ..model import EpisodeSpec
 from .scan import dedup, in_range
 
@@ -53,13 +53,13 @@ def frames(df: DataFrame, spec: EpisodeSpec) -> DataFrame:
         grid = spark.range(n).select(F.col("id").alias("i"), frame_time(F.col("id"), spec.start, spec.frame_hz).alias("timestamp"))
         some = _folded(df, spec, frame_at_or_after(F.col("ts"), spec.start, spec.frame_hz)).filter(F.col("i") < n)
         rows = grid.join(some, "i", "left")
-        block = F.floor(F.col("i") / BLOCK)
+        block = floor_div(F.col("i"), BLOCK)
     else:
         rows = _folded(df, spec, F.col("ts")).withColumn("timestamp", F.col("i"))
         # Union grid: blocks are ranges of time with BLOCK samples on average.
         size = rows.agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi")).first()
         step = max(1, (size["hi"] - size["lo"] + 1) * BLOCK // max(size["n"], 1)) if size["n"] else 1
-        block = F.floor((F.col("i") - F.lit(size["lo"] or 0)) / F.lit(step))
+        block = floor_div(F.col("i") - F.lit(size["lo"] or 0), step)
     rows = rows.fillna(0, [f"n{j}" for j in range(k)])
     filled = carry_forward(rows, "i", [f"v{j}" for j in range(k)], block)
     columns = [F.coalesce(F.col(f"v{j}.value"), F.lit(float("nan"))).alias(name) for j, (name, _) in enumerate(spec.series)]

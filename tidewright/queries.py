@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.align import Aligner, due_ns, frame_count, lag_us
+from .functions.align import Aligner, due_ns, floor_div, frame_count, lag_us
 from .functions.fields import FieldSelector
 from .functions.names import parse_catalog_line, parse_segment_name, segment_name, valid_name
 from .model import EpisodeSpec, TimeSpan
@@ -249,7 +249,7 @@ def catalog_line_parse(s: DataFrame) -> DataFrame:
 
 def _scaled(s: DataFrame) -> DataFrame:
     """Series 3 and 7 on a clock on which a month lasts less than an hour, so that kHz grids have a few thousand frames."""
-    return s.withColumn("ts", F.floor((F.col("ts") - F.lit(BASE)) / 3_000_000).cast("long"))
+    return s.withColumn("ts", floor_div(F.col("ts") - F.lit(BASE), 3_000_000))
 
 
 SCALED = f"(SELECT series, (ts - {BASE}) // 3000000 AS ts, value, seq FROM S)"
@@ -488,7 +488,7 @@ SEG_SQL = f"Z AS (SELECT series, {SEG} AS seg_seq, min(ts) AS min_ts, max(ts) AS
 
 
 def _segmented(s: DataFrame) -> DataFrame:
-    return s.withColumn("seg_seq", F.floor((F.col("ts") - F.lit(BASE)) / DAY).cast("long"))
+    return s.withColumn("seg_seq", floor_div(F.col("ts") - F.lit(BASE), DAY))
 
 
 def _catalog(s: DataFrame) -> DataFrame:

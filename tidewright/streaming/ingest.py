@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from ..functions.align import lag_us
+from ..functions.align import floor_div, lag_us
 from ..functions.fields import extract_by_selector
 from ..sources.files import mirror_datagram
 
 
 def event_time(ts: Column) -> Column:
     """A timestamp for watermarks; nanoseconds are cut to microseconds, so `ts` itself stays a long."""
-    return F.timestamp_micros(F.floor(ts / 1000).cast("long"))
+    return F.timestamp_micros(floor_div(ts, 1000))
 
 
 def bind(messages: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def first_writers(stream: DataFrame, bucket_ns: int = 60_000_000_000) -> DataFra
         state.update((sorted(known | set(fresh["ts"].tolist())),))
         yield fresh[["series", "ts", "value"]]
 
-    keyed = stream.withColumn("bucket", F.floor(F.col("ts") / bucket_ns).cast("long"))
+    keyed = stream.withColumn("bucket", floor_div(F.col("ts"), bucket_ns))
     return keyed.groupBy("series", "bucket").applyInPandasWithState(first, "series long, ts long, value double", "seen array<long>", "append", "NoTimeout")
 
 
