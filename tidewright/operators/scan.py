@@ -16,8 +16,13 @@ PROVENANCE = ("layer", "seg_seq", "seq")
 
 
 def order_of_writing(df: DataFrame) -> Column:
-    """A struct that orders the writers of one (series, ts); the value settles what provenance leaves open."""
-    return F.struct(*[c for c in PROVENANCE if c in df.columns], F.isnan("value").alias("nan"), "value")
+    """Orders the writers of one (series, ts).
+
+    One provenance column alone is a plain key, which keeps the aggregation in Spark's hash tables; several make a
+    struct, in which the value settles what they leave open.
+    """
+    known = [c for c in PROVENANCE if c in df.columns]
+    return F.col(known[0]) if len(known) == 1 else F.struct(*known, F.isnan("value").alias("nan"), "value")
 
 
 def dedup(df: DataFrame) -> DataFrame:

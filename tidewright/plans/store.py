@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.names import segment_name
 from ..model import SEGMENTS, NotFoundError
 from ..operators.predicates import Pred, time_zone_overlaps
-from ..operators.scan import in_range, order_of_writing
+from ..operators.scan import in_range
 
 _ROWS = "series long, ts long, value double, seg_seq long, seq long, home long"
 
@@ -49,8 +49,8 @@ def compaction_plan(catalog: DataFrame, max_count: int = 1 << 20) -> DataFrame:
 class SegmentStore:
     """Segments under a directory of any file system that Spark reads; archived ones under `cold`."""
 
-    def __init__(self, spark: SparkSession, root: str, cold: str | None = None, rows_per_file: int = 5_000_000):
-        self.spark, self.root, self.cold, self.rows_per_file = spark, root.rstrip("/"), cold and cold.rstrip("/"), rows_per_file
+    def __init__(self, spark: SparkSession, root: str, cold: str | None = None):
+        self.spark, self.root, self.cold = spark, root.rstrip("/"), cold and cold.rstrip("/")
 
     def _fs(self, path: str):
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -82,10 +82,12 @@ class SegmentStore:
         return f"{self.root if tier == 'local' else self.cold}/data/home={home:09d}"
 
     def _write(self, rows: DataFrame, tier: str, home: int) -> None:
-        """Rows clustered by series and time, so that Parquet's own statistics prune them; a hot series may take many files."""
+        """Rows clustered by series and time, so that Parquet's own statistics prune them, in one pass.
+
+        The rebalancing shuffle merges small partitions and splits a hot series over many files.
+        """
         rows = rows.withColumn("home", F.lit(home).cast("long")).select("series", "ts", "value", "seg_seq", "seq", "home")
-        n = max(1, -(-rows.count() // self.rows_per_file))
-        rows.repartitionByRange(n, "series", "ts").sortWithinPartitions("series", "ts", "seg_seq", "seq").write.parquet(self._place(tier, home))
+        rows.hint("rebalance", "series").sortWithinPartitions("series", "ts", "seg_seq", "seq").write.parquet(self._place(tier, home))
 
     def next_home(self, catalog: DataFrame) -> int:
         top = catalog.agg(F.max("home"), F.max("seg_seq")).first()
@@ -98,8 +100,8 @@ class SegmentStore:
         """Write (series, ts, value, seq) as one segment a series, the first writer of each ts only; returns their number."""
         base, catalog = self.version(), self.catalog()
         home = self.next_home(catalog)
-        best = rows.groupBy("series", "ts").agg(F.min_by(F.struct("value", "seq"), order_of_writing(rows)).alias("s"))
-        best = best.select("series", "ts", "s.value", "s.seq", F.lit(home).cast("long").alias("seg_seq"))
+        best = rows.select("series", "ts", "value", "seq").groupBy("series", "ts").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
+        best = best.withColumn("seg_seq", F.lit(home).cast("long"))
         self._write(best, "local", home)
         made = self._entries(home, "local")
         self._commit(catalog.unionByName(made), base)
