@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, langid, line_dedup, minhash, mixing, quality_cnn, repetition, sharding, suffix_dedup, toxicity
 from ._spark import held_out
+from .oracles import ORACLE  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,5 +85,3 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-
-ORACLE: dict[str, str] = {}
