@@ -58,6 +58,8 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
     No task holds a whole shard: rows are ranked inside blocks of a shard, ranges of the crc32, and a
     block's first slot is the sum of the counts before it, taken over the table of block counts.
     """
+    if shards < 1:
+        raise ValueError("shards must be positive")
     ident = F.coalesce(F.col(key).cast("long"), F.lit(-1))
     kept = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
     order = F.crc32(ident.cast("string").cast("binary"))
