@@ -15,7 +15,7 @@ from . import _text
 from ._spark import small_batches
 
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
 #: Items of one index; more items make more indexes, each searched by every passage.
 INDEX_ITEMS = 512
 GRAM = 3
@@ -129,7 +129,8 @@ def search(raw: np.ndarray, offs: np.ndarray, index: Index, overlap: float) -> t
     passage, which = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
     cut = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
     stop = np.r_[cut[1:], len(passage)]
-    lowest = index.least.reshape(-1, BLOCK).min(1)
+    least, by_block = index.least.reshape(-1, BLOCK), index.impact.reshape(len(index.impact), -1, BLOCK)
+    lowest = least.min(1)
     hits = []
     step = max(1, 4_000_000 // index.bound.shape[1])
     for lo in range(0, len(cut), 20_000):
@@ -138,12 +139,15 @@ def search(raw: np.ndarray, offs: np.ndarray, index: Index, overlap: float) -> t
         total = np.add.reduceat(index.bound[which[a:b]], cut[group] - a, axis=0) if b - a <= step else np.concatenate(
             [np.add.reduceat(index.bound[which[x[0] : y[-1]]], x - x[0], axis=0) for x, y in _runs(cut[group], stop[group], step)]
         )
-        for p, block in zip(*np.nonzero(total >= lowest * 0.9999), strict=True):
-            p += lo
-            own = slice(block * BLOCK, (block + 1) * BLOCK)
-            score = index.impact[which[cut[p] : stop[p]], own].sum(0)
-            for j in np.flatnonzero(score >= index.least[own] * 0.9999):
-                hits.append((passage[cut[p]], block * BLOCK + j, score[j]))
+        nearby, blocks = np.nonzero(total >= lowest * 0.9999)
+        for at in range(0, len(nearby), 50_000):
+            p, block = nearby[at : at + 50_000] + lo, blocks[at : at + 50_000]
+            count = stop[p] - cut[p]
+            base = np.cumsum(count) - count
+            terms_of = which[np.arange(count.sum()) + np.repeat(cut[p] - base, count)]
+            score = np.add.reduceat(by_block[terms_of, np.repeat(block, count)], base, axis=0)
+            for x, j in zip(*np.nonzero(score >= least[block] * 0.9999), strict=True):
+                hits.append((passage[cut[p[x]]], block[x] * BLOCK + j, score[x, j]))
     best: dict[tuple[int, int], float] = {}
     grams: dict[int, np.ndarray] = {}
     for p, item, score in hits:
