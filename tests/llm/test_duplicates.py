@@ -179,7 +179,7 @@ def edit(a, b):
 def sim_of(text):
     ink = np.frombuffer(text.encode(), np.uint8)
     a, b, _ = _text.words(ink, np.array([0, len(ink)]))
-    return int(line_dedup.simhash(_text.Spans(_text.byte_codes(ink)).of(a, b), np.array([0, len(a)]))[0])
+    return int(line_dedup.simhash(_text.Spans(_text.byte_codes(ink)).of(a, b), b - a, np.array([0, len(a)]))[0])
 
 
 def test_fuzzy_lines_by_hand(docs_of):
@@ -214,6 +214,15 @@ def test_fuzzy_lines_by_hand(docs_of):
     assert all(got[d]["n_lines"] == (len(t.split("\n")) if t else 0) for d, t in rows)
 
 
+def test_edit_distance():
+    rng = random.Random(1)
+    for _ in range(600):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randrange(30)))
+        b = "".join(rng.choice("abc ") if rng.random() < 0.2 else c for c in a)[rng.randrange(3) :] + "".join(rng.choice("ab") for _ in range(rng.randrange(4)))
+        for limit in range(6):
+            assert line_dedup.edit_within(a, b, limit) == (edit(a, b) <= limit)
+
+
 def test_fuzzy_lines_of_odd_rows(odd_docs, no_docs):
     rows = line_dedup.fuzzy_line_dedup(odd_docs).collect()
     assert len(rows) == 13
