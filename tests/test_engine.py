@@ -5,11 +5,12 @@ import math
 import threading
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidewright.db import ChunkBuffer, Db
 from tidewright.edge import EdgeConfig, EdgeNode
-from tidewright.export import export_episode, main
+from tidewright.export import export_episode, main, stream_episode
 from tidewright.model import Config, CorruptError, EpisodeSpec, NotFoundError, ProtocolError
 from tidewright.operators.predicates import Pred
 from tidewright.operators.scan import scan
@@ -17,6 +18,7 @@ from tidewright.plans.store import SegmentStore
 from tidewright.protocol import Put, Scan, handle_line, parse_command, server
 from tidewright.sources.files import decode_frames, encode_frames, latencies, log_frames, mirror_datagram, parse_datagram
 from tidewright.sources.generator import series_samples, workload
+from tidewright.sources.segments import decode_segment, encode_segment, read_segments
 from tidewright.sources.specs import load_bindings, parse_bindings, parse_episodes, save_bindings
 from tidewright.streaming import ingest
 from tidewright.streaming.lru import LruTable, drop_oldest, simulate
@@ -267,3 +269,50 @@ def test_export_episode_counts(samples, tmp_path):
     df = samples([(3, 1_000_000 * i, i / 2) for i in range(100)])
     meta = export_episode(df, EpisodeSpec("e", (("p", 3),), 0, 99_000_000), str(tmp_path / "x"))
     assert (meta["frames"], meta["series_samples"], set(meta["frame_samples"])) == (100, {"p": 100}, {1})
+
+
+def test_episode_sink_gets_bounded_chunks(samples):
+    class Sink:
+        sizes, closed = [], 0
+
+        def write_chunk(self, chunk):
+            self.sizes.append(len(chunk))
+
+        def close(self):
+            self.closed += 1
+
+    sink = Sink()
+    assert stream_episode(samples([(1, 1_000_000, 5.0)]), EpisodeSpec("e", (("p.x", 1),), 0, 10**9, 10_000), sink) == 10_001
+    assert (sink.sizes, sink.closed) == ([8192, 1809], 1)
+
+
+def test_segment_files_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    cases = {
+        1: (np.array([5]), np.array([math.inf])),
+        2: (np.array([-(2**62), 0, 1, 2**62]), np.array([math.nan, 0.0, -0.0, 1e-300])),
+        3: (np.cumsum(rng.integers(1, 2000, 3000)) + BASE, np.round(rng.normal(0, 50, 3000), 1)),
+        4: (np.arange(2000), np.full(2000, 7.0)),
+    }
+    for s, (ts, values) in cases.items():
+        data = encode_segment(s, ts, values)
+        series, back, same = decode_segment(data)
+        assert series == s
+        assert (back == ts).all()
+        assert (same.view(np.uint64) == values.astype(float).view(np.uint64)).all()
+        (tmp_path / f"{s}.seg").write_bytes(data)
+        for at in (3, 20, len(data) // 2, len(data) - 1):
+            with pytest.raises(CorruptError):
+                decode_segment(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
+        with pytest.raises(CorruptError):
+            decode_segment(data[:-7])
+    rows = read_segments(spark, str(tmp_path / "*.seg")).groupBy("series").count().collect()
+    assert {r["series"]: r["count"] for r in rows} == {1: 1, 2: 4, 3: 3000, 4: 2000}
+    with pytest.raises(CorruptError):
+        encode_segment(1, np.zeros(0), np.zeros(0))
+
+
+def test_put_lines(spark):
+    lines = ["put 3 10 2.5", "  put 4 -7 nan ", "put x 1 2", "scan 1 2 3", "put 1 2", "", "put 4294967295 1 2"]
+    got = ingest.put_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(r["series"], r["ts"]) for r in got] == [(3, 10), (4, -7)]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import math
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from .operators.resample import column_stats, frames
 from .sources.specs import load_episodes
 
 
+CHUNK_FRAMES = 8192
+
+
 def episode_path(root: str, index: int) -> str:
     return f"{root.rstrip('/')}/data/chunk-000/episode_{index:06d}.parquet"
 
@@ -53,6 +58,30 @@ class _Files:
         fs.delete(source, True)
 
 
+class EpisodeSink(Protocol):
+    """Takes an episode's frames in order, in chunks of at most CHUNK_FRAMES, then one close."""
+
+    def write_chunk(self, chunk: pd.DataFrame) -> None: ...
+
+    def close(self) -> None: ...
+
+
+def stream_episode(samples: DataFrame, spec: EpisodeSpec, sink: EpisodeSink) -> int:
+    """Feed a sink on the driver with the frames (timestamp, columns, frame_samples); one chunk is held at a time. Returns the frames' number."""
+    n, rows = 0, []
+    names = ["timestamp", *[c for c, _ in spec.series], "frame_samples"]
+    for row in frames(samples, spec).orderBy("timestamp").select(*[F.col(f"`{c}`") for c in names]).toLocalIterator():
+        rows.append(tuple(row))
+        n += 1
+        if len(rows) == CHUNK_FRAMES:
+            sink.write_chunk(pd.DataFrame(rows, columns=names))
+            rows = []
+    if rows:
+        sink.write_chunk(pd.DataFrame(rows, columns=names))
+    sink.close()
+    return n
+
+
 def export_episode(samples: DataFrame, spec: EpisodeSpec, root: str, index: int = 0) -> dict:
     """Write one episode file (timestamp, a double for each column) and its metadata; returns what stats.json says.
 

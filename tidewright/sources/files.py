@@ -18,9 +18,6 @@ FRAME = struct.Struct("<IIqQI")
 BODY = 20
 #: A mirror datagram: series, ts, value bits.
 DATAGRAM = struct.Struct("<IqQ")
-#: A segment file's head, fixed format: magic, series, count, min and max ts, min and max value, length of the ts block.
-SEGMENT_MAGIC = b"RTISEG01"
-SEGMENT_HEAD = struct.Struct("<8sIQqqdd")
 
 
 def latencies(spark: SparkSession, path: str, slope: float = 1.0, offset: float = 0.0) -> DataFrame:

@@ -22,6 +22,16 @@ def event_time(ts: Column) -> Column:
     return F.timestamp_micros(floor_div(ts, 1000))
 
 
+def put_lines(lines: DataFrame) -> DataFrame:
+    """(series, ts, value) of a table or stream of text lines `put series ts value`; other lines are left out.
+
+    For a socket: spark.readStream.format("socket").option("host", h).option("port", p).load()
+    """
+    t = F.split(F.trim("value"), r"\s+")
+    out = lines.select(F.get(t, 0).alias("c"), F.size(t).alias("n"), F.get(t, 1).try_cast("long").alias("series"), F.get(t, 2).try_cast("long").alias("ts"), F.get(t, 3).try_cast("double").alias("value"))
+    return out.filter("c = 'put' and n = 4 and series between 0 and 4294967294 and ts is not null and value is not null").select("series", "ts", "value")
+
+
 def bind(messages: DataFrame, bindings: DataFrame) -> DataFrame:
     """Messages (topic, ts, payload) with series, durable, value, and `skipped`: no binding, or no number at the binding's field.
 
