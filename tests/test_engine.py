@@ -44,9 +44,13 @@ def test_compaction_changes_no_scan(spark, tmp_path):
     assert len(before[0]) == 180
     assert before[1][:1] == [(50, 1050.0)]
     assert store.catalog().count() == 4
+    both = lambda: [sorted(tuple(r)[1:] for r in store.visible(1, 0, 999, p).collect()) for p in (None, Pred.gt(500), Pred.gt(2000), Pred.lt(60))]
+    assert both() == before
     assert store.compact() == {"runs": 1, "input_segments": 3, "output_segments": 1, "rows": 260}
     assert store.catalog().count() == 2
     assert [visible(store, 1, 0, 999, p) for p in (None, Pred.gt(500), Pred.gt(2000), Pred.lt(60))] == before
+    assert both() == before
+    assert {r["series"]: r["distinct"] for r in store.catalog().collect()} == {1: False, 2: True}
     assert store.compact()["runs"] == 0
     assert store.vacuum() == 2
     assert visible(SegmentStore(spark, store.root), 1, 0, 999) == before[0]
@@ -58,6 +62,9 @@ def test_archive_and_zone_maps(spark, tmp_path):
     assert store.archive_older_than(100) == 1
     assert store.archive_older_than(100) == 0
     assert visible(store, 1, 0, 500) == before
+    clean = store.visible(None, 0, 500)
+    assert sorted(tuple(r)[1:] for r in clean.collect()) == before
+    assert "HashAggregate" not in clean._jdf.queryExecution().executedPlan().toString()
     bare = SegmentStore(spark, store.root)
     assert visible(bare, 1, 0, 500, Pred.between(50, 60)) == []  # pruned without the cold tier
     assert len(visible(bare, 1, 150, 500)) == 50

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.names import segment_name
 from ..model import SEGMENTS, NotFoundError
 from ..operators.predicates import Pred, time_zone_overlaps
-from ..operators.scan import in_range
+from ..operators.scan import dedup, in_range
 
 _ROWS = "series long, ts long, value double, seg_seq long, seq long, home long"
 
@@ -103,11 +103,12 @@ class SegmentStore:
         best = rows.select("series", "ts", "value", "seq").groupBy("series", "ts").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
         best = best.withColumn("seg_seq", F.lit(home).cast("long"))
         self._write(best, "local", home)
-        made = self._entries(home, "local")
+        made = self._entries(home, "local").withColumn("distinct", F.lit(True))
         self._commit(catalog.unionByName(made), base)
         return made.count()
 
     def _entries(self, home: int, tier: str) -> DataFrame:
+        """Catalog rows of a written directory, but for `distinct`: whether no ts of the segment has two writers."""
         stored = self.spark.read.schema(_ROWS).parquet(self._place(tier, home))
         zones = zone_maps(stored, "series", "seg_seq")
         return zones.select(segment_name(F.col("seg_seq"), F.col("series")).alias("name"), "series", "seg_seq", "min_ts", "max_ts", "min_val", "max_val", "count", F.lit(tier).alias("tier"), F.lit(home).cast("long").alias("home"))
@@ -130,6 +131,23 @@ class SegmentStore:
         rows = in_range(self.read(prune(self.catalog(), series, t0, t1, pred)), t0, t1, pred, series)
         return rows.select("series", "ts", "value", F.lit(1).alias("layer"), "seg_seq", "seq")
 
+    def visible(self, series: int | None, t0: int, t1: int, pred: Pred | None = None) -> DataFrame:
+        """(series, ts, value) of the range after deduplication.
+
+        Series whose surviving segments do not overlap in time and have one writer for each ts need no deduplication: they
+        are a plain Parquet scan. The zone maps say which; only the others are shuffled.
+        """
+        found = prune(self.catalog(), series, t0, t1, pred)
+        before = Window.partitionBy("series").orderBy("min_ts", "seg_seq").rowsBetween(Window.unboundedPreceding, -1)
+        marked = found.withColumn("_meets", ~F.col("distinct") | F.coalesce(F.max("max_ts").over(before) >= F.col("min_ts"), F.lit(False)))
+        marked = marked.withColumn("_mixed", F.max("_meets").over(Window.partitionBy("series"))).drop("_meets")
+        rows = lambda which: in_range(self.read(which.drop("_mixed")), t0, t1, pred, series)
+        plain = rows(marked.filter(~F.col("_mixed"))).select("series", "ts", "value")
+        mixed = marked.filter("_mixed")
+        if mixed.isEmpty():
+            return plain
+        return plain.unionByName(dedup(rows(mixed).select("series", "ts", "value", "seg_seq", "seq")))
+
     def archive_older_than(self, before_ts: int) -> int:
         """Move segments that end before `before_ts` to the cold tier; returns their number."""
         if not self.cold:
@@ -140,7 +158,7 @@ class SegmentStore:
             return 0
         home = self.next_home(catalog)
         self._write(self.read(old), "cold", home)
-        made = self._entries(home, "cold")
+        made = self._entries(home, "cold").join(old.select("name", "distinct"), "name")
         self._commit(catalog.join(old.select("name"), "name", "left_anti").unionByName(made), base)
         return n
 
@@ -161,7 +179,8 @@ class SegmentStore:
         rank = F.row_number().over(Window.partitionBy("series", "ts").orderBy("seg_seq", "seq")) - 1
         merged = self.read(plan).withColumn("seq", rank.cast("long")).withColumn("seg_seq", F.lit(home).cast("long"))
         self._write(merged, "local", home)
-        made = self._entries(home, "local")
+        most = self.spark.read.schema(_ROWS).parquet(self._place("local", home)).groupBy("series").agg((F.max("seq") == 0).alias("distinct"))
+        made = self._entries(home, "local").join(most, "series")
         self._commit(catalog.join(plan.select("name"), "name", "left_anti").unionByName(made), base)
         return {"runs": 1, "input_segments": inputs[0], "output_segments": inputs[1], "rows": inputs[2]}
 
