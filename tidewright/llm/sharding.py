@@ -47,7 +47,7 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(shards)), begin, step, lambda s: s["at"]).cast("int")
 
 
-def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", rows_per_block: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", rows_per_block: int = 4_000) -> DataFrame:
     """Put every row into a shard by its key; adds `shard`, `grown_shard` (with one shard more) and `slot`.
 
     Law: the key and the shard count decide. A null key counts as key -1. `slot` numbers the rows of a
