@@ -82,4 +82,53 @@ C AS (SELECT doc_id, min(node) AS component_id FROM R GROUP BY doc_id)
 SELECT C.doc_id, coalesce(N.n, 0) AS n_shingles, component_id, C.doc_id = component_id AS kept FROM C LEFT JOIN N ON N.doc_id = C.doc_id
 """
 
-ORACLE = {"op1_sharding": SHARDING, "op3_repetition": REPETITION, "op9_minhash": MINHASH}
+
+
+def _doubling() -> str:
+    """CTEs H1 to H128: fingerprints of the strings of 1, 2, 4, ... bytes at each byte."""
+    out = ["H1 AS (SELECT doc, i, hash(b) AS h1 FROM B)"]
+    for k in (2, 4, 8, 16, 32, 64, 128):
+        out.append(f"H{k} AS (SELECT *, hash(h{k // 2}, lead(h{k // 2}, {k // 2}) OVER (PARTITION BY doc ORDER BY i)) AS h{k} FROM H{k // 2})")
+    return ", ".join(out)
+
+
+SUBSTRINGS = f"""
+WITH D AS (SELECT row_number() OVER () AS doc, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+N AS (SELECT doc, length(h) // 2 AS n, string_split(h, '') AS d FROM D),
+B AS (SELECT doc, i, d[2 * i + 1] || d[2 * i + 2] AS b, n FROM (SELECT doc, n, d, unnest(range(0, n)) AS i FROM N)),
+{_doubling()},
+W AS (SELECT H128.doc, H128.i, hash(h128, lead(h64, 128) OVER w, lead(h8, 192) OVER w) AS s, H128.i + 200 <= N.n AS fits FROM H128 JOIN N ON N.doc = H128.doc WINDOW w AS (PARTITION BY H128.doc ORDER BY H128.i)),
+C AS (SELECT doc, i, fits AND count(*) FILTER (WHERE fits) OVER (PARTITION BY s) > 1 AS twice FROM W),
+G AS (SELECT doc, i, max(CAST(twice AS INTEGER)) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM C),
+E AS (SELECT G.doc, G.i, gone, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY G.doc ORDER BY G.i), 0) = 0 AS starts, b FROM G JOIN B ON B.doc = G.doc AND B.i = G.i),
+R AS (SELECT doc, CAST(count(*) AS BIGINT) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0), ''))) AS kept_sha256 FROM E GROUP BY doc)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM D LEFT JOIN R ON R.doc = D.doc
+"""
+
+TERMS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION = f"""
+WITH I AS (SELECT item_id, text, {TERMS.format(text='text')} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+L AS (SELECT item_id, w, len(w) AS n, len({TERMS.format(text=r"regexp_extract(rtrim(text, chr(10) || ' '), '^((.|\n)*)\n[^\n]*$', 1)")}) AS head, CAST(greatest(6, ceil(log2(len(w)))) AS INTEGER) AS c FROM I WHERE len(w) > 0),
+X AS (SELECT *, CASE WHEN head BETWEEN 3 AND n - 3 THEN head ELSE n - n // 3 END AS cut, 1 << c AS half FROM L),
+F AS (SELECT item_id, term, count(*) AS f FROM (SELECT item_id, unnest(w) AS term FROM X) GROUP BY item_id, term),
+Z AS (SELECT count(*) AS items, avg(n) AS mean FROM X),
+K AS (SELECT term, ln(1 + (items - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM F, Z GROUP BY term, items),
+Q AS (SELECT F.item_id, half, F.term, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) AS weight FROM F JOIN K ON K.term = F.term JOIN X ON X.item_id = F.item_id, Z),
+M AS (SELECT item_id, 0.6 * sum(weight) AS least FROM Q GROUP BY item_id),
+D AS (SELECT row_number() OVER () AS doc, doc_id, {TERMS.format(text="coalesce(text, '')")} AS w FROM documents),
+T AS (SELECT doc, unnest(range(0, len(w))) AS pos, unnest(w) AS term, len(w) AS n FROM D),
+O AS (SELECT DISTINCT half FROM X),
+A AS (SELECT doc, term, half, pos // half AS k, greatest(1, CAST(ceil((n - half) / half) AS BIGINT)) AS p FROM T, O WHERE term IN (SELECT term FROM K)),
+P AS (SELECT DISTINCT doc, term, half, least(k, p - 1) AS p FROM A UNION SELECT doc, term, half, k - 1 FROM A WHERE k > 0 AND k < p),
+S AS (SELECT P.doc, P.p, Q.item_id, sum(weight) AS score FROM P JOIN Q ON Q.term = P.term AND Q.half = P.half GROUP BY P.doc, P.p, Q.item_id),
+C AS (SELECT S.doc, S.p, S.item_id, D.w[S.p * half + 1 : (S.p + 2) * half] AS own, X.w AS item, cut FROM S JOIN M ON M.item_id = S.item_id AND score >= least * 0.9999 JOIN X ON X.item_id = S.item_id JOIN D ON D.doc = S.doc),
+Y AS (SELECT doc, p, item_id, own, part, which FROM (SELECT doc, p, item_id, own, unnest([item[1 : cut], item[cut + 1 :]]) AS part, unnest([0, 1]) AS which FROM C)),
+V AS (SELECT doc, p, item_id, which, count(DISTINCT g) AS n, count(DISTINCT g) FILTER (WHERE contains(' ' || array_to_string(own, ' ') || ' ', ' ' || g || ' ')) AS k
+  FROM (SELECT doc, p, item_id, which, own, array_to_string(part[i : i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(part) - 2, least(len(part), 1)) + 1)) AS i FROM Y)) GROUP BY doc, p, item_id, which),
+H AS (SELECT doc, p, item_id FROM C EXCEPT SELECT doc, p, item_id FROM V WHERE k < 0.8 * n),
+R AS (SELECT doc, list(item_id ORDER BY item_id) AS item_ids FROM (SELECT DISTINCT doc, item_id FROM H) GROUP BY doc)
+SELECT doc_id, array_to_string(coalesce(item_ids, []), ',') AS item_ids, CAST(len(coalesce(item_ids, [])) AS BIGINT) AS n_items, item_ids IS NULL AS kept FROM D LEFT JOIN R ON R.doc = D.doc
+"""
+
+ORACLE = {"op1_sharding": SHARDING, "op3_repetition": REPETITION, "op7_decontamination": DECONTAMINATION, "op9_minhash": MINHASH, "op10_suffix_dedup": SUBSTRINGS}

@@ -58,7 +58,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.col("hits.item_id").alias("item_ids"), F.size("hits").cast("long").alias("n_items"), "kept")
+    return found.select("doc_id", F.concat_ws(",", F.col("hits.item_id").cast("array<string>")).alias("item_ids"), F.size("hits").cast("long").alias("n_items"), "kept")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
