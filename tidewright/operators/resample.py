@@ -19,7 +19,7 @@ def _folded(df: DataFrame, spec: EpisodeSpec, key: Column) -> DataFrame:
     cells = []
     for i, (_, series) in enumerate(spec.series):
         own = F.col("series") == series
-        cells += [F.max_by(F.when(own, F.struct("value")), F.when(own, F.col("ts"))).alias(f"v{i}"), F.count(F.when(own, 1)).alias(f"n{i}")]
+        cells += [F.max_by(F.when(own, F.col("value")), F.when(own, F.col("ts"))).alias(f"v{i}"), F.count(F.when(own, 1)).alias(f"n{i}")]
     return found.withColumn("i", key).groupBy("i").agg(*cells)
 
 
@@ -62,7 +62,7 @@ def frames(df: DataFrame, spec: EpisodeSpec) -> DataFrame:
         block = floor_div(F.col("i") - F.lit(size["lo"] or 0), step)
     rows = rows.fillna(0, [f"n{j}" for j in range(k)])
     filled = carry_forward(rows, "i", [f"v{j}" for j in range(k)], block)
-    columns = [F.coalesce(F.col(f"v{j}.value"), F.lit(float("nan"))).alias(name) for j, (name, _) in enumerate(spec.series)]
+    columns = [F.coalesce(F.col(f"v{j}"), F.lit(float("nan"))).alias(name) for j, (name, _) in enumerate(spec.series)]
     counts = [F.col(f"n{j}").cast("long").alias(f"n{j}") for j in range(k)]
     return filled.select(F.col("i").alias("frame"), "timestamp", *columns, sum((F.col(f"n{j}") for j in range(k)), F.lit(0)).cast("long").alias("frame_samples"), *counts)
 

@@ -48,10 +48,13 @@ def scan(df: DataFrame, series: int, t0: int, t1: int, pred: Pred | None = None,
 
     The predicate stands below the deduplication: the first *matching* writer is visible.
     """
-    found = dedup(in_range(df, t0, t1, pred, series)).select("ts", "value")
-    if agg:
-        return fold(found, agg, t0)
-    return found.orderBy("ts") if ordered else found
+    rows = in_range(df, t0, t1, pred, series)
+    if agg or not ordered:
+        found = dedup(rows).select("ts", "value")
+        return fold(found, agg, t0) if agg else found
+    # One range shuffle serves both the first-writer rule (equal ts meet) and the order of the result.
+    first = F.row_number().over(Window.partitionBy("series", "ts").orderBy(order_of_writing(df)))
+    return rows.repartitionByRange("ts").withColumn("_writer", first).filter("_writer = 1").select("ts", "value").orderBy("ts")
 
 
 def scan_each(df: DataFrame, t0: int, t1: int, pred: Pred | None = None) -> DataFrame:
