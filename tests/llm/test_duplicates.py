@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from tidewright.llm import _text, decontam, line_dedup, minhash, suffix_dedup
-from tidewright.llm._graph import connected_components
+from tidewright.llm._graph import connected_components, shared_buckets
 from tidewright.llm._spark import probably_in
 
 import corpus_pipeline
@@ -58,6 +58,33 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_shared_buckets(spark, batch):
+    rng = random.Random(batch)
+    rows = [(rng.randrange(40), rng.randrange(60)) for _ in range(120)] + [(77, i % 9) for i in range(50)] + [(78, 5)] * 9 + [(79, 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(tuple(r) for r in shared_buckets(spark.createDataFrame(rows, "bucket long, node long")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = defaultdict(set)
+    for b, n in rows:
+        groups[b].add(n)
+    assert got == sorted((b, n, min(g)) for b, g in groups.items() if len(g) > 1 for n in g)
+
+
+def test_simhash_of_long_lines():
+    rng = np.random.Generator(np.random.PCG64(6))
+    word, length = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2), rng.integers(1, 30, 3000)
+    bounds = np.array([0, 1, 5, 460, 3000])
+    weight = np.minimum(length, line_dedup.MOST_BYTES) ** 2
+    for i, got in enumerate(line_dedup.simhash(word, length, bounds)):
+        own = slice(bounds[i], bounds[i + 1])
+        bits = word[own, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
+        votes = ((2 * bits.astype(int) - 1) * weight[own, None]).sum(0)
+        assert int(got) == sum(1 << k for k in range(64) if votes[k] > 0)
+
+
 def test_bloom_filter_loses_nothing(spark):
     keys = spark.range(0, 3000, 7).withColumnRenamed("id", "k")
     got = {r["id"] for r in probably_in(spark.range(20_000), "id", keys).collect()}
@@ -182,7 +209,9 @@ def sim_of(text):
     return int(line_dedup.simhash(_text.Spans(_text.byte_codes(ink)).of(a, b), b - a, np.array([0, len(a)]))[0])
 
 
-def test_fuzzy_lines_by_hand(docs_of):
+@pytest.mark.parametrize("group", [3, 2000])
+def test_fuzzy_lines_by_hand(docs_of, monkeypatch, group):
+    monkeypatch.setattr(line_dedup, "GROUP", group)
     rng = random.Random(11)
     vocabulary = [f"word{i}x" for i in range(400)]
     bases = [" ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(12)]
