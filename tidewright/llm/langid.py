@@ -14,6 +14,8 @@ from . import _text
 from ._spark import held_out, small_batches
 
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are sorted at once: each byte takes some 130 bytes of memory.
+PIECE = 1 << 19
 _BITS = 7
 #: 7-bit symbols: a-z as themselves, a non-ASCII byte by its low bits (lead bytes above the continuation bytes), 0 for the rest.
 _SYMBOL = np.zeros(256, np.uint64)
@@ -68,7 +70,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 30
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for piece in _text.pieces(batch, "text"):
+            for piece in _text.pieces(batch, "text", PIECE):
                 row, code, count = counted(*_text.texts(piece.column("text")))
                 names = pc.dictionary_encode(piece.column("lang"))
                 ids = names.indices.to_numpy(zero_copy_only=False)[row]
@@ -134,7 +136,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
         ascii_letter = np.zeros(256, bool)
         ascii_letter[65:91] = ascii_letter[97:123] = True
         for batch in batches:
-            for piece in _text.pieces(batch, text):
+            for piece in _text.pieces(batch, text, PIECE):
                 raw, offs = _text.texts(piece.column(text))
                 best, score = identify(raw, offs, profiles, top)
                 plain = _text.row_sums(ascii_letter[raw], offs) > 0
