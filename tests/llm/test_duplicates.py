@@ -243,6 +243,31 @@ def test_fuzzy_lines_by_hand(docs_of, monkeypatch, group):
     assert all(got[d]["n_lines"] == (len(t.split("\n")) if t else 0) for d, t in rows)
 
 
+def test_fuzzy_lines_meet_by_edits_alone(docs_of):
+    """Recall against edit similarity alone, of lines of any number of words: no hash takes part in what is expected."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randrange(2, 11)))
+    rows, kinds = [], []
+    for n, most in [(1, 1), (2, 1), (3, 2), (4, 2), (10, 3), (20, 5), (40, 8)]:
+        for edits in range(1, most + 1):
+            for _ in range(60 // most):
+                while True:
+                    line = " ".join(word() for _ in range(n))
+                    other = list(line)
+                    for at in rng.sample(range(len(line)), min(edits, len(line))):
+                        other[at] = rng.choice(["", rng.choice("qxzé"), other[at] + rng.choice("qxz")])
+                    other = "".join(other)
+                    if norm(other) != norm(line) and edit(norm(line), norm(other)) <= 0.1 * max(len(norm(line)), len(norm(other))) + 1e-9:
+                        break
+                rows.append((len(rows), line + "\n" + other))
+                kinds.append((n, edits, len(norm(line))))
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.fuzzy_line_dedup(docs_of(rows)).collect()}
+    missed = [kinds[d] for d in got if got[d] != [1]]
+    assert not [k for k in missed if k[2] < 18]
+    assert len(missed) <= 0.02 * len(rows), missed
+    assert not [k for k in missed if k[0] >= 10 and k[1] == 1]
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(600):
