@@ -354,6 +354,20 @@ def test_search_by_hand():
     assert {i: got[i] for i in want} == want
 
 
+def test_scores_do_not_depend_on_the_indexes(docs_of, spark, monkeypatch):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"t{min(rng.randrange(60), rng.randrange(60))}" for _ in range(n))
+    items = [(i, f"{say(rng.randrange(12, 90))}\n{say(rng.randrange(6, 20))}") for i in range(30)]
+    docs = docs_of([(i, f"{say(30)} {rng.choice(items)[1]} {say(30)}") for i in range(40)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for most in (512, 7):
+        monkeypatch.setattr(decontam, "INDEX_ITEMS", most)
+        found.append({r["doc_id"]: [(h["item_id"], round(h["score"], 3)) for h in r["hits"]] for r in decontam.contamination(docs, bench).collect()})
+    assert all(found[0].values())
+    assert found[0] == found[1]
+
+
 def test_decontamination_of_odd_rows(odd_docs, no_docs, spark):
     items = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "one two", 5), (4, "one two", 5), (4, "one two", 5), (6, "!!!", 5)], "item_id long, text string, kept int")
     rows = decontam.contamination(odd_docs, items).collect()

@@ -53,18 +53,46 @@ class Index:
     answer: list[np.ndarray]
 
 
-def build(items: list[tuple[int, str | None]], share: float) -> list[Index]:
-    """One index for each length class (items of up to 64, 128, 256, ... terms). Items without terms are left out."""
+@dataclass
+class Stats:
+    """Of all items with terms: the sorted vocabulary, in how many items each term is, the items, and their terms in all."""
+
+    vocabulary: np.ndarray
+    seen: np.ndarray
+    items: int
+    size: int
+
+    def __add__(self, other: Stats) -> Stats:
+        vocabulary, at = np.unique(np.concatenate([self.vocabulary, other.vocabulary]), return_inverse=True)
+        seen = np.bincount(at, np.concatenate([self.seen, other.seen]), len(vocabulary)).astype(np.int64)
+        return Stats(vocabulary, seen, self.items + other.items, self.size + other.size)
+
+
+def count(items: list[tuple[int, str | None]]) -> Stats:
+    """The statistics of some items; those of parts of a benchmark add up."""
+    term, row = terms(*_text.texts(pa.array([t for _, t in items], pa.string())))
+    size = np.bincount(row, minlength=len(items))
+    vocabulary, seen = np.unique(_text.distinct(term, row)[0], return_counts=True)
+    return Stats(vocabulary, seen, int((size > 0).sum()), int(size.sum()))
+
+
+def build(items: list[tuple[int, str | None]], share: float, stats: Stats | None = None) -> list[Index]:
+    """One index for each length class (items of up to 64, 128, 256, ... terms). Items without terms are left out.
+
+    `stats` are those of the whole benchmark, if `items` is a part of it.
+    """
+    stats = stats or count(items)
     raw, offs = _text.texts(pa.array([t for _, t in items], pa.string()))
     term, row = terms(raw, offs)
     bounds = _text.row_bounds(row, len(items))
     split = [term[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     size = np.diff(bounds)
     every = [np.unique(t) for t in split]
-    vocabulary, seen = np.unique(np.concatenate([*every, np.zeros(0, np.uint64)]), return_counts=True)
-    n = max(int((size > 0).sum()), 1)
+    vocabulary = np.unique(np.concatenate([*every, np.zeros(0, np.uint64)]))
+    seen = stats.seen[np.searchsorted(stats.vocabulary, vocabulary)]
+    n = max(stats.items, 1)
     idf = np.log1p((n - seen + 0.5) / (seen + 0.5))
-    mean = size.sum() / n
+    mean = stats.size / n
     out = []
     classes = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)))).astype(int)
     for c in np.unique(classes[size > 0]):
@@ -183,8 +211,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     text has no hits; a null, empty or word-less item is never hit; equal items are hit together, and repeated rows get
     equal results. Without items every row is kept.
 
-    The items' ids are collected first; their texts come in indexes of INDEX_ITEMS items, so that what is sent to the
-    executors at once does not grow with the benchmark.
+    The items' texts come in indexes of INDEX_ITEMS items, so that what is sent to the executors at once does not grow with
+    the benchmark. Document frequencies and the mean length are of the whole benchmark and are counted first, part by part.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -196,9 +224,16 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     bench = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
     parts = max(1, -(-bench.count() // INDEX_ITEMS))
     out = docs.select(*kept, F.array().cast(hit).alias("hits"))
-    for part in range(parts):
+
+    def items_of(part: int) -> list[tuple[int, str]]:
         rows = bench.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "t").collect()
-        shared = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in rows], share))
+        return [(r["i"], r["t"]) for r in rows]
+
+    stats = count([])
+    for part in range(parts):
+        stats += count(items_of(part))
+    for part in range(parts):
+        shared = spark.sparkContext.broadcast(build(items_of(part), share, stats))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
