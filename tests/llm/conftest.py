@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns of the input that are called like columns the operators add.
-CLASH = ("shard", "slot", "grown_shard", "size", "copies", "places", "n_words", "kept", "score", "features", "lang_pred", "hits", "node", "root", "bucket", "removed")
+CLASH = ("shard", "slot", "grown_shard", "size", "copies", "places", "n_words", "kept", "score", "features", "lang_pred", "hits", "node", "root", "bucket", "removed", "_key", "_order", "_block", "_crc", "_len", "_source", "_blocks", "_n", "row", "key", "nth", "place", "part", "at_id", "at_key", "judged", "_probes", "cls", "word", "rid", "group", "n", "block", "data", "first", "start", "end")
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3000
 
 

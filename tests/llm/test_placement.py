@@ -30,7 +30,7 @@ def test_jump_hash(spark, n):
 
 
 def test_growth_moves_rows_only_to_the_new_shard(spark):
-    rows = sharding.shard(spark.range(20_000).withColumnRenamed("id", "doc_id"), 8, rows_per_block=700).collect()
+    rows = sharding.shard(spark.range(20_000).withColumnRenamed("id", "doc_id"), 8).collect()
     assert all(r["grown_shard"] in (r["shard"], 8) for r in rows)
     assert 0.09 < sum(r["grown_shard"] == 8 for r in rows) / len(rows) < 0.13
     slots = defaultdict(list)
@@ -40,10 +40,17 @@ def test_growth_moves_rows_only_to_the_new_shard(spark):
     assert max(map(len, slots.values())) < 1.1 * len(rows) / 8
 
 
-def test_slots_do_not_depend_on_blocks(spark, docs_of):
-    docs = docs_of([(i % 400, f"t{i % 7}") for i in range(1000)])
-    few, many = (Counter((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.shard(docs, 3, rows_per_block=n).collect()) for n in (10**6, 20))
-    assert few == many
+def test_slots_do_not_depend_on_ranges(spark, docs_of):
+    docs = docs_of([(i % 400, f"t{i % 7}") for i in range(1000)] + [(7, "hot")] * 900)
+    found = []
+    for width in (1, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        found.append(Counter((r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.shard(docs, 3).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1]
+    for shard in range(3):
+        slots = sorted(k[3] for k in found[0] if k[2] == shard)
+        assert slots == list(range(len(slots)))
 
 
 def test_sharding_of_odd_rows(odd_docs, no_docs):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_BATCH_BYTES = 16 << 20
@@ -16,18 +17,31 @@ LONG_MAX = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a local one only where it is unset."""
+    """The cluster's shared folder (`spark.checkpoint.dir`); a local one only where it is unset and all runs in one process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext.getCheckpointDir()
         if known:
             return known
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext.getCheckpointDir()
     return root
 
 
+def others(docs: DataFrame, *names: str) -> list[str]:
+    """The columns that are not called like one of `names`, in any case."""
+    lower = {n.lower() for n in names}
+    return [c for c in docs.columns if c.lower() not in lower]
+
+
+def packed(docs: DataFrame, *names: str) -> Column:
+    """A struct of these columns, so that none of them can clash with a column of an operator's own."""
+    return F.struct(*[docs[f"`{c}`"] for c in others(docs, *names)])
+
+
 def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     """Write `df` as a Parquet table in the shared folder and read it back; returns it with its path.
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -64,7 +65,11 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa
 
 
 class Spans:
-    """Prefix sums that give a 64-bit fingerprint of any span of a code sequence."""
+    """Prefix sums that give a 64-bit key of any span of a code sequence.
+
+    A polynomial modulo 2**64: equal spans have equal keys, but crafted spans can share one without being equal. It serves
+    for candidate keys alone, whose pairs are compared by their text afterwards; what decides is `kinds` or `hashed`.
+    """
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
@@ -80,6 +85,27 @@ def byte_codes(raw: np.ndarray) -> np.ndarray:
     return _CODE[raw]
 
 
+def kinds(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of spans in order and apart from each other: the number of each one's string, and these strings, compared byte by byte."""
+    size = end - start
+    offs = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offs[1:])
+    edge = np.bincount(start, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
+    data = raw[np.cumsum(edge)[: len(raw)] > 0]
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Seeded 128-bit hashes of the strings of such spans (shape: 2, spans); different strings are hashed once each."""
+    at, strings = kinds(raw, start, end)
+    if not len(at):
+        return np.zeros((2, 0), np.uint64)
+    digest = b"".join([xxhash.xxh3_128_digest(x, 20240607) for x in strings.to_pylist()])
+    return np.frombuffer(digest, np.uint64).reshape(-1, 2).T[:, at]
+
+
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of bytes other than 0x20 and 0x09-0x0D."""
     n = len(raw)
@@ -108,20 +134,32 @@ def row_bounds(row: np.ndarray, rows: int) -> np.ndarray:
     return np.searchsorted(row, np.arange(rows + 1), "left")
 
 
-def shingles(word_hash: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of every window of k words inside a row, and their rows; a shorter row gives its whole sequence once."""
-    n = len(word_hash)
+def chain(codes: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` codes that begin at `start`, one code mixed in after the other."""
+    out = np.full(len(start), size, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for i in range(size):
+        out = mix((out ^ codes[start + i]) * np.uint64(_BASE))
+    return out
+
+
+def shingles(codes: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every window of k codes inside a row, and their rows, ordered by row; a shorter row gives its whole sequence once.
+
+    `codes` may be of shape (n,) or (hashes, n), for hashes of as many independent codes.
+    """
+    n = codes.shape[-1]
     bounds = row_bounds(row, rows)
     size = np.diff(bounds)
-    spans = Spans(word_hash)
     left = np.arange(n, dtype=np.int64)
-    fits = left + k <= bounds[1:][row] if n else np.zeros(0, bool)
-    short = np.flatnonzero((size > 0) & (size < k))
-    start = np.concatenate([left[fits], bounds[short]])
-    end = np.concatenate([left[fits] + k, bounds[short + 1]])
-    of = np.concatenate([row[fits], short])
+    start = [left[left + k <= bounds[1:][row]] if n else left]
+    out = [np.stack([chain(c, start[0], k) for c in np.atleast_2d(codes)])]
+    for short in range(1, k):
+        start.append(bounds[:-1][size == short])
+        out.append(np.stack([chain(c, start[-1], short) for c in np.atleast_2d(codes)]))
+    of = row[np.concatenate(start)] if n else np.zeros(0, np.int64)
     order = np.argsort(of, kind="stable")
-    return spans.of(start, end)[order], of[order]
+    every = np.concatenate(out, axis=1)[:, order]
+    return (every[0] if codes.ndim == 1 else every), of[order]
 
 
 def distinct(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +169,3 @@ def distinct(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     new = np.ones(len(code), bool)
     new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
     return code[new], row[new]
-
-
-def as_strings(raw: bytes | np.ndarray, offs: np.ndarray) -> list[str]:
-    data = bytes(raw)
-    return [data[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._spark import small_batches
+from ._spark import materialize, others, small_batches
 
 K1, B = 1.2, 0.75
 BLOCK = 4
-#: Items of one index; more items make more indexes, each searched by every passage.
-INDEX_ITEMS = 512
+#: Bytes of items' texts in one index, at most (or one item). A larger benchmark is searched part by part, each in its own pass.
+INDEX_BYTES = 32 << 20
 GRAM = 3
+#: An item with this share of its windows in a passage is a hit, wherever the missing ones are.
+WHOLE = 0.8
 _TERM = np.zeros(256, bool)
 _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
 
@@ -27,30 +29,38 @@ def terms(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each term: a run of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased."""
     ink = np.where(_TERM[raw], _text.LOWER[raw], 32).astype(np.uint8)
     start, end, row = _text.words(ink, offs)
-    return _text.Spans(_text.byte_codes(ink)).of(start, end), row
+    return _text.hashed(ink, start, end)[0], row
 
 
 def _grams(term: np.ndarray, k: int) -> np.ndarray:
-    """Fingerprints of the distinct windows of k terms (of the whole, if it is shorter)."""
+    """Hashes of the distinct windows of k terms (of the whole, if it is shorter)."""
     if not len(term):
         return np.zeros(0, np.uint64)
-    n = max(1, len(term) - k + 1)
-    start = np.arange(n)
-    return np.unique(_text.Spans(term).of(start, np.minimum(start + k, len(term))))
+    k = min(k, len(term))
+    return np.unique(_text.chain(term, np.arange(len(term) - k + 1), k))
 
 
 @dataclass
 class Index:
-    """Items of one length class, in blocks of BLOCK by id."""
+    """An inverted index of the items of one length class. Items are numbered by id and grouped in blocks of BLOCK numbers.
+
+    A term's postings lie together, ordered by item; those of one term in one block make a cell.
+    """
 
     ids: np.ndarray
     window: int  # terms of a passage; passages start every half window, so that one holds any item whole
     vocabulary: np.ndarray  # sorted term hashes
-    impact: np.ndarray  # term, item: BM25 weight of the term in the item; padded to whole blocks
-    bound: np.ndarray  # term, block: largest impact in the block
+    most: np.ndarray  # term: largest impact in any item
+    cells: np.ndarray  # first cell of each term, and the end
+    cell: np.ndarray  # term * blocks + block of each cell, sorted
+    bound: np.ndarray  # cell: largest impact
+    postings: np.ndarray  # first posting of each cell, and the end
+    item: np.ndarray  # posting: item
+    impact: np.ndarray  # posting: BM25 weight of the term in the item
     least: np.ndarray  # item: score from which a passage is verified
+    lowest: np.ndarray  # block: smallest of `least`
     question: list[np.ndarray]
-    answer: list[np.ndarray]
+    answer: list[np.ndarray | None]
 
 
 @dataclass
@@ -87,49 +97,105 @@ def build(items: list[tuple[int, str | None]], share: float, stats: Stats | None
     bounds = _text.row_bounds(row, len(items))
     split = [term[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     size = np.diff(bounds)
-    every = [np.unique(t) for t in split]
-    vocabulary = np.unique(np.concatenate([*every, np.zeros(0, np.uint64)]))
-    seen = stats.seen[np.searchsorted(stats.vocabulary, vocabulary)]
     n = max(stats.items, 1)
-    idf = np.log1p((n - seen + 0.5) / (seen + 0.5))
     mean = stats.size / n
     out = []
     classes = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)))).astype(int)
     for c in np.unique(classes[size > 0]):
         own = np.flatnonzero((classes == c) & (size > 0))
         own = own[np.argsort([items[i][0] for i in own], kind="stable")]
-        width = -(-len(own) // BLOCK) * BLOCK
-        impact = np.zeros((len(vocabulary), width), np.float32)
-        question, answer = [], []
-        for j, i in enumerate(own):
-            kinds, tf = np.unique(split[i], return_counts=True)
-            at = np.searchsorted(vocabulary, kinds)
-            impact[at, j] = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[i] / mean))
-            cut = _answer_start(items[i][1], split[i])
-            question.append(_grams(split[i][:cut], GRAM))
-            answer.append(_grams(split[i][cut:], GRAM))
-        least = np.full(width, np.inf, np.float32)
-        least[: len(own)] = share * impact[:, : len(own)].sum(0)
-        used = impact.any(1)
-        impact = impact[used]
-        out.append(Index(np.array([items[i][0] for i in own], np.int64), 2 << int(c), vocabulary[used], impact, impact.reshape(len(impact), -1, BLOCK).max(2), least, question, answer))
+        of = np.repeat(np.arange(len(own)), size[own])
+        kinds, which = np.unique(np.stack([of.astype(np.uint64), np.concatenate([split[i] for i in own])]), axis=1, return_counts=True)
+        holder, words = kinds[0].astype(np.int64), kinds[1]
+        vocabulary, at = np.unique(words, return_inverse=True)
+        seen = stats.seen[np.searchsorted(stats.vocabulary, vocabulary)]
+        idf = np.log1p((n - seen + 0.5) / (seen + 0.5))
+        impact = (idf[at] * which * (K1 + 1) / (which + K1 * (1 - B + B * size[own][holder] / mean))).astype(np.float32)
+        least = share * np.bincount(holder, impact, len(own))
+        blocks = -(-len(own) // BLOCK)
+        order = np.lexsort((holder, at))
+        at, holder, impact = at[order], holder[order], impact[order]
+        key = at * blocks + holder // BLOCK
+        cell, postings = np.unique(key, return_index=True)
+        parts = [_parts(items[i][1], split[i]) for i in own]
+        out.append(
+            Index(
+                np.array([items[i][0] for i in own], np.int64), 2 << int(c), vocabulary, np.maximum.reduceat(impact, np.searchsorted(at, np.arange(len(vocabulary)))),
+                np.searchsorted(cell, np.arange(len(vocabulary) + 1) * blocks), cell, np.maximum.reduceat(impact, postings), np.r_[postings, len(key)], holder, impact,
+                least, np.minimum.reduceat(least, np.arange(0, len(own), BLOCK)), [q for q, _ in parts], [a for _, a in parts],
+            )
+        )
     return out
 
 
-def _answer_start(text: str, term: np.ndarray) -> int:
-    """The answer is the last line, if it and the rest have at least GRAM terms, else the last third."""
+def _parts(text: str, term: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Windows of the question and of the answer, which is the last line, if the lines before it have GRAM terms or more; else of the whole, and None."""
     head = text.rstrip().rpartition("\n")[0]
     n = len(terms(*_text.texts(pa.array([head])))[0])
-    return n if GRAM <= n <= len(term) - GRAM else len(term) - len(term) // 3
+    return (_grams(term[:n], GRAM), _grams(term[n:], GRAM)) if GRAM <= n < len(term) else (_grams(term, GRAM), None)
 
 
-def search(raw: np.ndarray, offs: np.ndarray, index: Index, overlap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, item's place and score of every verified hit of every passage of every row, a row's item once (best score).
+def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs that begin at `first`, and the run of each."""
+    run = np.repeat(np.arange(len(first)), count)
+    return np.arange(len(run)) + np.repeat(first - (np.cumsum(count) - count), count), run
+
+
+def candidates(passage: np.ndarray, which: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, item and score of all items that reach their threshold; (passage, which): the distinct known terms of passages, by passage.
 
-    Block-max WAND for all passages of the rows at once: the bounds of a passage's terms are summed for each block
-    of items; only blocks whose sum reaches their least threshold have their items scored, and only items that
-    reach their own threshold are verified by the 3-term windows of their question and their answer.
+    WAND with block-max bounds, for many passages side by side:
+    1. A passage whose terms' largest impacts together reach no item's threshold is skipped.
+    2. A passage's terms are taken by rising largest impact. Up to the pivot, where their sum reaches the lowest threshold, they cannot
+       make a hit alone; so only the blocks of the terms from the pivot on are looked at, and long lists of common terms are not read.
+    3. Such a block is skipped if the block's own bounds for all the passage's terms do not reach the block's lowest threshold.
+    4. Only the postings of blocks that are left are added up.
     """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(passage):
+        return none
+    blocks, floor = len(index.lowest), float(index.lowest.min()) * 0.9999
+    order = np.lexsort((index.most[which], passage))
+    passage, which = passage[order], which[order]
+    first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+    count = np.diff(np.r_[first, len(passage)])
+    most = index.most[which].astype(float)
+    sums = np.cumsum(most)
+    upto = sums - np.repeat(sums[first] - most[first], count)
+    last = first + count - 1
+    alive = np.repeat(upto[last] >= floor, count)
+    essential = np.flatnonzero(alive & (upto >= floor))
+    # Blocks of the terms from the pivot on, once a passage.
+    group = np.repeat(np.arange(len(first)), count)
+    lists = index.cells[which[essential]]
+    at, run = _expand(lists, index.cells[which[essential] + 1] - lists)
+    pair = np.unique(group[essential][run] * blocks + index.cell[at] % blocks)
+    out = [none]
+    step = 200_000
+    ends = np.cumsum(count[pair // blocks])
+    lo = 0
+    while lo < len(pair):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step, "right")))
+        of, block = pair[lo:hi] // blocks, pair[lo:hi] % blocks
+        lo = hi
+        at, run = _expand(first[of], count[of])
+        key = which[at] * blocks + block[run]
+        cell = np.minimum(np.searchsorted(index.cell, key), len(index.cell) - 1)
+        real = index.cell[cell] == key
+        cell, run = cell[real], run[real]
+        likely = np.bincount(run, index.bound[cell], len(of)) >= index.lowest[block] * 0.9999
+        cell, run = cell[likely[run]], run[likely[run]]
+        post, where = _expand(index.postings[cell], index.postings[cell + 1] - index.postings[cell])
+        slot = run[where] * BLOCK + index.item[post] % BLOCK
+        score = np.bincount(slot, index.impact[post], len(of) * BLOCK)
+        item = np.minimum(block[:, None] * BLOCK + np.arange(BLOCK), len(index.least) - 1).ravel()
+        hit = np.flatnonzero((score > 0) & (score >= index.least[item] * 0.9999))
+        out.append((passage[first[of[hit // BLOCK]]], item[hit], score[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def search(raw: np.ndarray, offs: np.ndarray, index: Index, overlap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item's place and score of every verified hit of every passage of every row, a row's item once (best score)."""
     term, row = terms(raw, offs)
     rows = len(offs) - 1
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -138,95 +204,68 @@ def search(raw: np.ndarray, offs: np.ndarray, index: Index, overlap: float) -> t
     bounds = _text.row_bounds(row, rows)
     size, half = np.diff(bounds), index.window // 2
     passages = np.where(size > 0, np.maximum(1, -(-(size - half) // half)), 0)
+    first = np.cumsum(passages) - passages
     of = np.repeat(np.arange(rows), passages)
-    begin = bounds[:-1][of] + (np.arange(len(of)) - np.repeat(np.cumsum(passages) - passages, passages)) * half
+    begin = bounds[:-1][of] + (np.arange(len(of)) - first[of]) * half
     end = np.minimum(begin + index.window, bounds[1:][of])
     at = np.minimum(np.searchsorted(index.vocabulary, term), len(index.vocabulary) - 1)
     known = np.flatnonzero(index.vocabulary[at] == term)
     # Each known term lies in the passage that starts in its half window and in the one before.
     nth = (known - bounds[:-1][row[known]]) // half
-    first = np.cumsum(passages) - passages
     late = first[row[known]] + np.minimum(nth, passages[row[known]] - 1)
-    early = late - 1
     both = (nth > 0) & (nth < passages[row[known]])
-    pair = np.concatenate([late, early[both]]).astype(np.uint64) << np.uint64(32) | np.concatenate([at[known], at[known[both]]]).astype(np.uint64)
+    pair = np.concatenate([late, late[both] - 1]).astype(np.uint64) << np.uint64(32) | np.concatenate([at[known], at[known[both]]]).astype(np.uint64)
     pair.sort()
-    if not len(pair):
-        return none
-    pair = pair[np.r_[True, pair[1:] != pair[:-1]]]
-    passage, which = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-    stop = np.r_[cut[1:], len(passage)]
-    least, by_block = index.least.reshape(-1, BLOCK), index.impact.reshape(len(index.impact), -1, BLOCK)
-    lowest = least.min(1)
-    hits = []
-    step = max(1, 4_000_000 // index.bound.shape[1])
-    for lo in range(0, len(cut), 20_000):
-        group = slice(lo, lo + 20_000)
-        a, b = cut[group][0], stop[group][-1]
-        total = np.add.reduceat(index.bound[which[a:b]], cut[group] - a, axis=0) if b - a <= step else np.concatenate(
-            [np.add.reduceat(index.bound[which[x[0] : y[-1]]], x - x[0], axis=0) for x, y in _runs(cut[group], stop[group], step)]
-        )
-        nearby, blocks = np.nonzero(total >= lowest * 0.9999)
-        for at in range(0, len(nearby), 50_000):
-            p, block = nearby[at : at + 50_000] + lo, blocks[at : at + 50_000]
-            count = stop[p] - cut[p]
-            base = np.cumsum(count) - count
-            terms_of = which[np.arange(count.sum()) + np.repeat(cut[p] - base, count)]
-            score = np.add.reduceat(by_block[terms_of, np.repeat(block, count)], base, axis=0)
-            for x, j in zip(*np.nonzero(score >= least[block] * 0.9999), strict=True):
-                hits.append((passage[cut[p[x]]], block[x] * BLOCK + j, score[x, j]))
+    pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
     best: dict[tuple[int, int], float] = {}
-    grams: dict[int, np.ndarray] = {}
-    for p, item, score in hits:
+    grams: dict[int, list[np.ndarray]] = {}
+    hits = candidates((pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), index)
+    for p, item, score in zip(*(x.tolist() for x in hits), strict=True):  # retrieved passages only
         if p not in grams:
-            grams[p] = _grams(term[begin[p] : end[p]], GRAM)
-        if all(np.isin(part, _fit(part, grams[p], term[begin[p] : end[p]]), assume_unique=True).sum() >= overlap * len(part) for part in (index.question[item], index.answer[item])):
-            key = int(of[p]), int(item)
-            best[key] = max(best.get(key, 0.0), float(score))
+            grams[p] = [_grams(term[begin[p] : end[p]], k) for k in range(1, GRAM + 1)]
+        parts = [x for x in (index.question[item], index.answer[item]) if x is not None]
+        found = [_windows_in(x, grams[p]) for x in parts]
+        each = all(n >= max(1, min(np.ceil(overlap * len(x) - 1e-9), len(x) - spare)) for n, x, spare in zip(found, parts, (0, GRAM), strict=False))
+        if each or sum(found) >= WHOLE * sum(map(len, parts)):
+            key = int(of[p]), item
+            best[key] = max(best.get(key, 0.0), score)
     keys = sorted(best)
     return np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64), np.array([best[k] for k in keys])
 
 
-def _fit(part: np.ndarray, grams: np.ndarray, term: np.ndarray) -> np.ndarray:
-    """Windows of a passage to look `part` up in: also shorter ones, for a part below GRAM terms."""
-    return grams if len(part) != 1 else np.unique(np.concatenate([grams, *(_grams(term, k) for k in range(1, GRAM))]))
-
-
-def _runs(cut: np.ndarray, stop: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Consecutive passages with about `step` terms together."""
-    lo = 0
-    while lo < len(cut):
-        hi = max(lo + 1, int(np.searchsorted(stop, cut[lo] + step, "right")))
-        yield cut[lo:hi], stop[lo:hi]
-        lo = hi
+def _windows_in(part: np.ndarray, grams: list[np.ndarray]) -> int:
+    """How many of the part's windows a passage has; its windows of 1 to GRAM terms, as a part below GRAM terms has one shorter window."""
+    return int(sum(np.isin(part, g, assume_unique=True).sum() for g in (grams if len(part) == 1 else grams[-1:])))
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.6, overlap: float = 0.8) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.6, overlap: float = 0.6) -> DataFrame:
     """Adds `hits`, an array of (item_id, score) by item_id, and `kept`, true where it is empty (columns called so are replaced).
 
     Every passage of every text (overlapping windows over the whole of it) queries the index of the items. Retrieved
-    is each item on which the passage scores at least `share` of what the item's own text would; it is a hit if
-    the passage has at least `overlap` of the 3-term windows of its question and of its answer. A null or empty
+    is each item on which the passage scores at least `share` of what the item's own text would. It is a hit if the passage
+    has at least `overlap` of the 3-term windows of its question and of its answer (the last line), or of an answer all but
+    3, as many as one changed term takes, and one at least; or at least WHOLE of all windows of both. An item of one line is
+    taken whole. A null or empty
     text has no hits; a null, empty or word-less item is never hit; equal items are hit together, and repeated rows get
-    equal results. Without items every row is kept.
+    equal results. Without items every row is kept, and an empty table gives none. A text's terms are searched together: memory
+    follows the longest text, at some 40 bytes a byte.
 
-    The items' texts come in indexes of INDEX_ITEMS items, so that what is sent to the executors at once does not grow with
-    the benchmark. Document frequencies and the mean length are of the whole benchmark and are counted first, part by part.
+    One index is sent for up to INDEX_BYTES of items' texts, with any number of items. A larger benchmark is searched part by part,
+    and each pass writes its rows before the next index is sent. Document frequencies and the mean length are
+    always those of the whole benchmark, so the parts have no influence on the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    names = ("hits", "kept")
-    kept = [c for c in docs.columns if c not in names]
+    kept = others(docs, "hits", "kept")
     hit = T.ArrayType(T.StructType().add("item_id", "long").add("score", "double"))
     arrow_hit = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())]))
     schema = docs.select(*kept).schema.add("hits", hit)
     bench = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
-    parts = max(1, -(-bench.count() // INDEX_ITEMS))
+    parts = max(1, -(-(bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // INDEX_BYTES))
     out = docs.select(*kept, F.array().cast(hit).alias("hits"))
 
     def items_of(part: int) -> list[tuple[int, str]]:
-        rows = bench.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "t").collect()
+        rows = bench.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "t").collect()  # some INDEX_BYTES
         return [(r["i"], r["t"]) for r in rows]
 
     stats = count([])
@@ -246,4 +285,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
                     yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.array(found, arrow_hit)], [*kept, "hits"])
 
         out = out.mapInArrow(run, schema)
+        if part < parts - 1:
+            out, _ = materialize(out)
+            shared.unpersist()
     return out.withColumn("hits", F.array_sort("hits")).withColumn("kept", F.size("hits") == 0)

@@ -110,7 +110,7 @@ TERMS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ab
 DECONTAMINATION = f"""
 WITH I AS (SELECT item_id, text, {TERMS.format(text='text')} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 L AS (SELECT item_id, w, len(w) AS n, len({TERMS.format(text=r"regexp_extract(rtrim(text, chr(10) || ' '), '^((.|\n)*)\n[^\n]*$', 1)")}) AS head, CAST(greatest(6, ceil(log2(len(w)))) AS INTEGER) AS c FROM I WHERE len(w) > 0),
-X AS (SELECT *, CASE WHEN head BETWEEN 3 AND n - 3 THEN head ELSE n - n // 3 END AS cut, 1 << c AS half FROM L),
+X AS (SELECT *, CASE WHEN head BETWEEN 3 AND n - 1 THEN head END AS cut, 1 << c AS half FROM L),
 F AS (SELECT item_id, term, count(*) AS f FROM (SELECT item_id, unnest(w) AS term FROM X) GROUP BY item_id, term),
 Z AS (SELECT count(*) AS items, avg(n) AS mean FROM X),
 K AS (SELECT term, ln(1 + (items - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM F, Z GROUP BY term, items),
@@ -123,10 +123,10 @@ A AS (SELECT doc, term, half, pos // half AS k, greatest(1, CAST(ceil((n - half)
 P AS (SELECT DISTINCT doc, term, half, least(k, p - 1) AS p FROM A UNION SELECT doc, term, half, k - 1 FROM A WHERE k > 0 AND k < p),
 S AS (SELECT P.doc, P.p, Q.item_id, sum(weight) AS score FROM P JOIN Q ON Q.term = P.term AND Q.half = P.half GROUP BY P.doc, P.p, Q.item_id),
 C AS (SELECT S.doc, S.p, S.item_id, D.w[S.p * half + 1 : (S.p + 2) * half] AS own, X.w AS item, cut FROM S JOIN M ON M.item_id = S.item_id AND score >= least * 0.9999 JOIN X ON X.item_id = S.item_id JOIN D ON D.doc = S.doc),
-Y AS (SELECT doc, p, item_id, own, part, which FROM (SELECT doc, p, item_id, own, unnest([item[1 : cut], item[cut + 1 :]]) AS part, unnest([0, 1]) AS which FROM C)),
+Y AS (SELECT doc, p, item_id, own, part, which FROM (SELECT doc, p, item_id, own, unnest(CASE WHEN cut IS NULL THEN [item] ELSE [item[1 : cut], item[cut + 1 :]] END) AS part, unnest(CASE WHEN cut IS NULL THEN [0] ELSE [0, 1] END) AS which FROM C)),
 V AS (SELECT doc, p, item_id, which, count(DISTINCT g) AS n, count(DISTINCT g) FILTER (WHERE contains(' ' || array_to_string(own, ' ') || ' ', ' ' || g || ' ')) AS k
   FROM (SELECT doc, p, item_id, which, own, array_to_string(part[i : i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(part) - 2, least(len(part), 1)) + 1)) AS i FROM Y)) GROUP BY doc, p, item_id, which),
-H AS (SELECT doc, p, item_id FROM C EXCEPT SELECT doc, p, item_id FROM V WHERE k < 0.8 * n),
+H AS (SELECT doc, p, item_id FROM V GROUP BY doc, p, item_id HAVING bool_and(k >= greatest(1, least(ceil(0.6 * n), n - 3 * which))) OR sum(k) >= 0.8 * sum(n)),
 R AS (SELECT doc, list(item_id ORDER BY item_id) AS item_ids FROM (SELECT DISTINCT doc, item_id FROM H) GROUP BY doc)
 SELECT doc_id, array_to_string(coalesce(item_ids, []), ',') AS item_ids, CAST(len(coalesce(item_ids, [])) AS BIGINT) AS n_items, item_ids IS NULL AS kept FROM D LEFT JOIN R ON R.doc = D.doc
 """

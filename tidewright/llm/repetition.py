@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _text
-from ._spark import small_batches
+from ._spark import others, small_batches
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -89,9 +89,9 @@ def measure(raw: np.ndarray, offs: np.ndarray, least: int) -> dict[str, np.ndarr
     rows = len(offs) - 1
     start, end, row = _text.words(raw, offs)
     bounds = _text.row_bounds(row, rows)
-    spans = _text.Spans(_text.byte_codes(raw))
-    salt = _text.mix(np.arange(rows, dtype=np.uint64) + np.uint64(1))
-    name = np.unique(spans.of(start, end) ^ salt[row], return_inverse=True)[1]
+    # Words and lines are compared byte by byte; a word's name is another one in each row.
+    kind, known = _text.kinds(raw, start, end)
+    name = np.unique(row * len(known) + kind, return_inverse=True)[1]
     longest = repeats(name, bounds[1:][row])
     ink = ~_text.SPACE[raw]
     out = {
@@ -116,8 +116,8 @@ def measure(raw: np.ndarray, offs: np.ndarray, least: int) -> dict[str, np.ndarr
     np.cumsum(ink, out=inks[1:])
     some = inks[stop] > inks[begin]
     of, begin, stop = of[some], begin[some], stop[some]
-    kinds = np.unique(spans.of(begin, stop) ^ salt[of], return_index=True)[1]
-    out["n_dup_lines"] = np.bincount(of, minlength=rows) - np.bincount(of[kinds], minlength=rows)
+    kind, known = _text.kinds(raw, begin, stop)
+    out["n_dup_lines"] = np.bincount(of, minlength=rows) - np.bincount(np.unique(of * len(known) + kind) // max(len(known), 1), minlength=rows)
     return out
 
 
@@ -125,16 +125,17 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def repetition(docs: DataFrame, text: str = "text", min_repeat: int = 8, max_covered: float = 0.3, max_repeat: int = 60) -> DataFrame:
-    """Adds each row's counts, `base_failed` and `kept` (columns called like them are replaced).
+    """Adds each row's counts, `base_failed` and `kept` (columns called like them, in any case, are replaced).
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D. A text fails the base rules with under 50 words or
     when more than half of its words lie in 3-word windows that occur twice. It fails the repetition rule when
     repeats of `min_repeat` words or more cover more than `max_covered` of its words, or one repeat has more
     than `max_repeat` words. Null and empty texts have zero counts and fail the base rules.
-    Each row is judged alone, so equal rows get equal results; memory follows the longest single text.
+    Each row is judged alone, so equal rows get equal results, and an empty table gives none; a text is sorted whole, so
+    memory follows the longest one, at some 30 bytes a byte.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (*COLUMNS, "base_failed", "kept")]
+    kept = others(docs, *COLUMNS, "base_failed", "kept")
     schema = docs.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

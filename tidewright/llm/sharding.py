@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import materialize, others, packed, width
+
 #: The generator of the jump hash, x -> MULTIPLIER * x + 1 modulo 2**64.
 MULTIPLIER = 2862933555777941757
 LIMB = 22
@@ -47,36 +49,44 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(shards)), begin, step, lambda s: s["at"]).cast("int")
 
 
-def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", rows_per_block: int = 4_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", ties: tuple[str, ...] = ()) -> DataFrame:
     """Put every row into a shard by its key; adds `shard`, `grown_shard` (with one shard more) and `slot`.
 
     Law: the key and the shard count decide. A null key counts as key -1. `slot` numbers the rows of a
-    shard from 0 without gaps, in the order of (crc32 of the key's text, key, crc32 and length of the text);
-    fully equal rows take their slots in any order. Empty input gives an empty result. Columns of the input
-    stay, apart from any called shard, grown_shard or slot, which are replaced.
+    shard from 0 without gaps, in the order of (crc32 of the key's text, key, and the columns `ties`: without any, crc32
+    and length of the text); fully equal rows take their slots in any order. Empty input gives an empty result. Columns of
+    the input stay, apart from any called shard, grown_shard or slot in any case, which are replaced.
 
-    No task holds a whole shard: rows are ranked inside blocks of a shard, ranges of the crc32, and a
-    block's first slot is the sum of the counts before it, taken over the table of block counts.
+    Rows are dealt out by ranges of this order and, last, their place in the input, so that no key and no group of equal
+    rows is too large for a task. Ordered rows are written with their place; a row's slot is its place less that of the first
+    of its shard in its range, plus the rows of the shard in the ranges before, from a table of one row a shard and range.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    ident = F.coalesce(F.col(key).cast("long"), F.lit(-1))
-    kept = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
-    order = F.crc32(ident.cast("string").cast("binary"))
-    body = F.coalesce(F.col(text), F.lit("")) if text in docs.columns else F.lit("")
-    blocks = max(1, -(-docs.count() // (rows_per_block * shards)))
-    placed = docs.select(
-        *kept,
+    ident = F.coalesce(docs[key].cast("long"), F.lit(-1))
+    if ties:
+        rest = [docs[c] for c in ties]
+    else:
+        has = text.lower() in (c.lower() for c in docs.columns)
+        body = F.coalesce(docs[text], F.lit("")) if has else F.lit("")
+        rest = [F.crc32(body.cast("binary")), F.octet_length(body)]
+    names = others(docs, "shard", "grown_shard", "slot")
+    own = docs.select(
+        packed(docs, "shard", "grown_shard", "slot").alias("row"),
         jump_hash(ident, shards).alias("shard"),
-        jump_hash(ident, shards + 1).alias("grown_shard"),
-        order.alias("_order"),
-        (F.shiftright(order * blocks, 32)).cast("int").alias("_block"),
-        ident.alias("_key"),
-        F.crc32(body.cast("binary")).alias("_crc"),
-        F.octet_length(body).alias("_len"),
+        jump_hash(ident, shards + 1).alias("grown"),
+        F.crc32(ident.cast("string").cast("binary")).alias("first"),
+        ident.alias("key"),
+        *[c.alias(f"tie{i}") for i, c in enumerate(rest)],
+        F.monotonically_increasing_id().alias("nth"),
     )
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    first = placed.groupBy("shard", "_block").agg(F.count("*").alias("_n")).select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("shard", "_block").orderBy("_order", "_key", "_crc", "_len")
-    ranked = placed.withColumn("_rank", F.row_number().over(inside))
-    return ranked.join(first, ["shard", "_block"]).select(*kept, "shard", "grown_shard", (F.col("_first") + F.col("_rank") - 1).cast("long").alias("slot"))
+    order = ["shard", "first", "key", *[f"tie{i}" for i in range(len(rest))], "nth"]
+    dealt = own.repartitionByRange(width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    # monotonically_increasing_id numbers the rows of a range one by one, and ranges in their order.
+    rows, _ = materialize(dealt.select("row", "shard", "grown", F.monotonically_increasing_id().alias("place")))
+    cells = rows.groupBy("shard", F.shiftright("place", 33).alias("part")).agg(F.min("place").alias("start"), F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("shard").alias("of"), "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias("shift"))
+    slot = (F.col("place") + F.col("shift")).cast("long").alias("slot")
+    placed = rows.join(cells, (F.col("shard") == F.col("of")) & (F.shiftright("place", 33) == F.col("part")))
+    return placed.select(*[F.col("row")[c].alias(c) for c in names], "shard", F.col("grown").alias("grown_shard"), slot)
