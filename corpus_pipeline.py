@@ -20,11 +20,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id, once; rows without doc_id stay."""
-    found = minhash.near_duplicates(docs)
-    ids = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates.
+
+    It is the one with the smallest doc_id, then the smallest hash of its text; of rows that share both, one stays. A row is
+    judged by its own text, so rows that share a doc_id but not their text are not taken for each other. Rows without doc_id
+    or without words stay; an empty table stays empty.
+    """
+    return minhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
