@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import held_out, small_batches
+from ._spark import held_out, others, small_batches
 
 UNKNOWN = "und"
 #: Bytes of text whose n-grams are sorted at once: each byte takes some 130 bytes of memory.
@@ -27,10 +27,11 @@ _CODE_BITS = 2 + 3 * _BITS
 _MOST = (1 << (48 - _CODE_BITS)) - 1
 
 
-def ngrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(raw: np.ndarray, offs: np.ndarray, before: int = 0, after: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the letter n-grams of 1 to 3 symbols, with word edges as a symbol, and the row of each.
 
-    Symbols are bytes of the UTF-8 text; a text is taken to begin and end at a word's edge.
+    Symbols are bytes of the UTF-8 text; a text is taken to begin and end at a word's edge, unless the bytes `before` and
+    `after` stand beside it.
     """
     rows = len(offs) - 1
     # A 0 between rows marks the edges.
@@ -38,6 +39,7 @@ def ngrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(offs))
     at = np.arange(len(raw)) + row.astype(np.int64) + 1
     sym[at] = _SYMBOL[raw]
+    sym[0], sym[-1] = _SYMBOL[before], _SYMBOL[after]
     letter = at[sym[at] > 0]
     of = row[sym[at] > 0]
     here, left, right = sym[letter], sym[letter - 1], sym[letter + 1]
@@ -49,9 +51,8 @@ def ngrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one, two, first, three]), np.concatenate([of, of, of[edge], of])
 
 
-def counted(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, code and count of each n-gram of each row, ordered by row and code."""
-    code, of = ngrams(raw, offs)
+def _counted(raw: np.ndarray, offs: np.ndarray, before: int = 0, after: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code, of = ngrams(raw, offs, before, after)
     key = (of << np.uint64(_CODE_BITS)) | code
     key.sort()
     new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
@@ -60,6 +61,19 @@ def counted(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (key >> np.uint64(_CODE_BITS)).astype(np.int64), (key & np.uint64((1 << _CODE_BITS) - 1)).astype(np.int64), count
 
 
+def counted(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and count of each n-gram of each row, ordered by row and code. One long row is counted in parts of PIECE bytes."""
+    if len(offs) != 2 or len(raw) <= PIECE:
+        return _counted(raw, offs)
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lo in range(0, len(raw), PIECE):
+        own = raw[lo : lo + PIECE]
+        _, code, count = _counted(own, np.array([0, len(own)]), int(raw[lo - 1]) if lo else 0, int(raw[lo + PIECE]) if lo + PIECE < len(raw) else 0)
+        codes, at = np.unique(np.concatenate([codes, code]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, count])).astype(np.int64)
+    return np.zeros(len(codes), np.int64), codes, counts
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 300) -> dict[str, np.ndarray]:
     """Each language's most frequent n-grams, most frequent first (ties: lower code), over every whole text with a language.
 
@@ -95,10 +109,14 @@ def identify(raw: np.ndarray, offs: np.ndarray, profiles: dict[str, np.ndarray],
     """Index of the nearest language of each row (-1: no n-gram at all) and 1 less its distance over the runner-up's."""
     rows = len(offs) - 1
     row, code, count = counted(raw, offs)
-    # One sort by row, falling count and code; counts above 2**25 - 1 rank alike.
-    key = (row.astype(np.uint64) << np.uint64(48)) | ((_MOST - np.minimum(count, _MOST)).astype(np.uint64) << np.uint64(_CODE_BITS)) | code.astype(np.uint64)
-    key.sort()
-    row, code = (key >> np.uint64(48)).astype(np.int64), (key & np.uint64((1 << _CODE_BITS) - 1)).astype(np.int64)
+    # One sort by row, falling count and code; counts that do not fit the key only come in a text that is sorted by itself.
+    if len(count) and count.max() > _MOST:
+        order = np.lexsort((code, -count, row))
+        row, code = row[order], code[order]
+    else:
+        key = (row.astype(np.uint64) << np.uint64(48)) | ((_MOST - count).astype(np.uint64) << np.uint64(_CODE_BITS)) | code.astype(np.uint64)
+        key.sort()
+        row, code = (key >> np.uint64(48)).astype(np.int64), (key & np.uint64((1 << _CODE_BITS) - 1)).astype(np.int64)
     bounds = _text.row_bounds(row, rows)
     rank = np.arange(len(row)) - bounds[:-1][row]
     near = rank < top
@@ -121,13 +139,14 @@ def identify(raw: np.ndarray, offs: np.ndarray, profiles: dict[str, np.ndarray],
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", top: int = 300) -> DataFrame:
-    """Adds `lang_pred` and `score` (columns called so are replaced).
+    """Adds `lang_pred` and `score` (columns called so, in any case, are replaced).
 
     A null text, or one without letters, is `und` with score 0. Ties go to the lower language in code point
-    order. Without a profile every text is `und`. Each row is judged alone on its whole text.
+    order. Without a profile every text is `und`. Each row is judged alone on its whole text, so equal rows get equal results,
+    and an empty table gives none. A long text is counted in parts: memory follows PIECE and the text's own bytes.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = others(docs, "lang_pred", "score")
     profiles = dict(sorted(profiles.items()))
     names = [*profiles, UNKNOWN]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize
+from ._spark import materialize, others, packed, width
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (5, 2, 1)
@@ -98,12 +98,12 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, cycle: tuple[int, ...]
 
     A null text has 0 words; null sources form one source, last; a null key is a key of its own. Rows without
     words are taken once in each whole pass. Empty input gives an empty result. Columns called like one of the
-    added ones are replaced. The driver gets one row for each source, never one for each document or block.
+    added ones, in any case, are replaced. The driver gets one row for each source, never one for each document or block.
     """
-    names = ("size", "source_size", "target", "copies", "places")
-    kept = [c for c in docs.columns if c not in names]
-    hashed = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.lit(seed))
-    base = docs.select(*kept, n_words(F.col(text)).alias("size"), F.col(source).alias("_source"), hashed.alias("_key"))
+    added = ("size", "source_size", "target", "copies", "places")
+    names = others(docs, *added)
+    hashed = F.xxhash64(F.coalesce(docs[key].cast("string"), F.lit("\0")), F.lit(seed))
+    base = docs.select(packed(docs, *added).alias("_row"), n_words(docs[text]).alias("size"), docs[source].alias("_source"), hashed.alias("_key"))
     narrow, _ = materialize(base.groupBy("_source", "_key").agg(F.sum("size").alias("_sum"), F.count("*").alias("_rows")))
     per_source = narrow.groupBy("_source").agg(F.sum("_sum").alias("source_size"), F.sum("_rows").alias("_docs"))
     goal = targets(per_source.select(F.col("_source").alias("source"), "source_size"), cycle, limit).withColumnRenamed("source", "_source")
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, cycle: tuple[int, ...]
     part = F.when(F.col("_rest") < 0.5, 0).when(F.col("_upto") <= F.col("_rest"), 1).when(F.col("_left") > 0, 2).otherwise(0)
     blocks, _ = materialize(blocks.select("_source", "_block", "_at", "_left", part.alias("_part")))
     edge = _of_source(cells, blocks.filter("_part = 2").select("_source", "_block", "_left"), "_block")
-    source_type = dict(docs.dtypes)[source]
+    source_type = base.schema["_source"].dataType.simpleString()
     chosen, _ = materialize(edge.select("_source", "_key", "_sum", "_left").groupBy("_source").applyInPandas(_cut, f"_source {source_type}, _key long").withColumn("_chosen", F.lit(True)))
 
     quota = blocks.groupBy("_source").agg(F.sum((F.col("_part") > 0).cast("int")).alias("_extra"), F.count("*").alias("_n"))
@@ -147,4 +147,15 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, cycle: tuple[int, ...]
         F.size(F.filter("_ends", lambda e: e <= p.cast("long") * F.col("_n") + F.col("_at"))).alias("shard"),
         F.xxhash64(F.col("_key"), p, F.lit(seed + 2)).alias("rank"),
     )
-    return out.select(*kept, "size", "source_size", "target", "copies", F.transform(passes, place).alias("places"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], "size", "source_size", "target", "copies", F.transform(passes, place).alias("places"))
+
+
+def draw(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of `mix` as its output: `columns` of each copy, in the files of its shard and there in the order of its local shuffle.
+
+    Shards are cut into ranges of the order, so that no task holds a whole shard.
+    """
+    copies = mixed.select(F.struct(*[mixed[f"`{c}`"] for c in columns]).alias("row"), F.explode("places").alias("at"))
+    order = [F.col("at")["shard"], F.col("at")["rank"]]
+    dealt = copies.repartitionByRange(width(mixed.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.select(*[F.col("row")[c].alias(c) for c in columns])

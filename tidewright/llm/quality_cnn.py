@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import small_batches
+from ._spark import others, small_batches
 
 EMBED, FILTERS, WIDTH, STRIDE = 6, 32, 8, 2
 CHUNK, STEP = 512, 256
-#: Training: labelled documents at most, chunks of each at most, passes.
-SAMPLE, CHUNKS_A_DOC, PASSES = 3000, 6, 12
+#: Training: labelled documents at most, passes, documents of a step, and chunks that are worked on at once.
+SAMPLE, PASSES, DOCS, GROUP = 3000, 6, 32, 256
 
 
 @dataclass
@@ -66,8 +66,22 @@ def pooled(raw: np.ndarray, offs: np.ndarray, net: Network) -> np.ndarray:
     return out
 
 
+def chunks_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first byte and places of every chunk that `chunk_maxima` makes of texts of so many bytes."""
+    places = (np.maximum(sizes, WIDTH) - WIDTH) // STRIDE + 1
+    step = STEP // STRIDE
+    count = np.maximum(-(-places // step) - 1, 1)
+    owner = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return owner, nth * STEP, np.minimum(places[owner] - nth * step, 2 * step)
+
+
 def _train(texts: list[bytes], labels: np.ndarray, seed: int) -> Network:
-    """Adam on the log-loss over chunks spread evenly over each text; the output layer sees a text's chunks together."""
+    """Adam on the log-loss over every chunk of every text; the output layer sees all chunks of a text together.
+
+    A step finds the maxima of its texts' chunks and where they are, some chunks at a time, and then goes back through
+    these places alone: memory follows GROUP chunks, and 256 bytes a chunk of the longest texts.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
     net = Network(
         rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
@@ -76,35 +90,39 @@ def _train(texts: list[bytes], labels: np.ndarray, seed: int) -> Network:
         rng.normal(0, 0.1, 2 * FILTERS + 1).astype(np.float32),
     )
     net.out[-1] = 0
-    chunks, owner = [], []
-    for i, text in enumerate(texts):
-        count = max(1, -(-max(len(text) - CHUNK, 0) // STEP) + 1)
-        for at in np.unique(np.linspace(0, count - 1, min(count, CHUNKS_A_DOC)).astype(int)) * STEP:
-            own = np.frombuffer(text[at : at + CHUNK], np.uint8)
-            chunks.append(np.r_[own, np.zeros(CHUNK - len(own), np.uint8)] if len(own) < CHUNK else own)
-            owner.append(i)
-    size = [len(texts[i][:CHUNK]) for i in range(len(texts))]
-    chunks, owner = np.array(chunks), np.array(owner)
+    sizes = np.array([len(t) for t in texts])
+    owner, begin, places = chunks_of(sizes)
+    most = 2 * STEP // STRIDE
+    span = CHUNK + WIDTH - STRIDE
+    raw = np.frombuffer(b"".join(texts) + bytes(span), np.uint8)
+    at = (np.cumsum(sizes) - sizes)[owner] + begin
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
-    places = positions(CHUNK)
-    valid = np.array([positions(s) if s < CHUNK else places for s in size])
+
+    def data_of(rows: np.ndarray) -> np.ndarray:
+        data = raw[at[rows][:, None] + np.arange(span)]
+        short = np.flatnonzero(sizes[owner[rows]] < WIDTH)  # padded with zeros, as in `convolve`
+        for i in short:
+            data[i, sizes[owner[rows[i]]] :] = 0
+        return data
+
     params = [net.embed, net.filters, net.bias, net.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
     for _ in range(PASSES):
         order = rng.permutation(len(texts))
-        for at in range(0, len(order), 48):
-            docs = order[at : at + 48]
+        for lo in range(0, len(order), DOCS):
+            docs = order[lo : lo + DOCS]
             rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
             of = np.repeat(np.arange(len(docs)), [first[d + 1] - first[d] for d in docs])
-            data = chunks[rows]
-            x = net.embed[data]
-            windows = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)[:, ::STRIDE].transpose(0, 1, 3, 2)
-            flat = windows.reshape(len(rows) * places, -1)
-            answers = (flat @ net.filters + net.bias).reshape(len(rows), places, FILTERS)
-            answers[np.arange(places)[None, :] >= valid[docs][of][:, None]] = -1
-            win = answers.argmax(1)
-            maxima = np.maximum(np.take_along_axis(answers, win[:, None], 1)[:, 0], 0)
+            groups = [slice(x, x + GROUP) for x in range(0, len(rows), GROUP)]
+            maxima, win = np.zeros((len(rows), FILTERS), np.float32), np.zeros((len(rows), FILTERS), np.int64)
+            for g in groups:
+                x = net.embed[data_of(rows[g])]
+                windows = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)[:, ::STRIDE].transpose(0, 1, 3, 2)
+                answers = (windows.reshape(len(x) * most, -1) @ net.filters + net.bias).reshape(len(x), most, FILTERS)
+                answers[np.arange(most)[None, :] >= places[rows[g]][:, None]] = -1
+                win[g] = answers.argmax(1)
+                maxima[g] = np.maximum(np.take_along_axis(answers, win[g][:, None], 1)[:, 0], 0)
             starts = np.searchsorted(of, np.arange(len(docs)))
             top = np.maximum.reduceat(maxima, starts)
             n = np.diff(np.r_[starts, len(of)])
@@ -115,15 +133,16 @@ def _train(texts: list[bytes], labels: np.ndarray, seed: int) -> Network:
             d_out = vector.T @ error + 1e-4 * net.out
             d_max = error[of][:, None] * (net.out[:FILTERS] * (maxima >= top[of]) + net.out[FILTERS:-1] / n[of][:, None])
             d_max = np.where(maxima > 0, d_max, 0).astype(np.float32)
-            picked = flat.reshape(len(rows), places, -1)[np.arange(len(rows))[:, None], win]  # row, filter, WIDTH * EMBED
-            d_filters = np.einsum("rfk,rf->kf", picked, d_max)
-            d_bias = d_max.sum(0)
-            back = (d_max[:, :, None] * net.filters.T[None]).reshape(len(rows), FILTERS, WIDTH, EMBED)
-            where = data[np.arange(len(rows))[:, None, None], win[:, :, None] * STRIDE + np.arange(WIDTH)]
-            d_embed = np.zeros_like(net.embed)
-            np.add.at(d_embed, where.ravel(), back.reshape(-1, EMBED))
+            d_filters, d_embed = np.zeros_like(net.filters), np.zeros_like(net.embed)
+            for g in groups:
+                where = data_of(rows[g])[np.arange(len(rows[g]))[:, None, None], win[g][:, :, None] * STRIDE + np.arange(WIDTH)]
+                picked = net.embed[where].reshape(len(where), FILTERS, -1)
+                d_filters += np.einsum("rfk,rf->kf", picked, d_max[g])
+                back = (d_max[g][:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+                for e in range(EMBED):
+                    d_embed[:, e] += np.bincount(where.ravel(), back[:, e], 256)
             step += 1
-            for param, grad, (m, v) in zip(params, (d_embed, d_filters, d_bias, d_out), moments, strict=True):
+            for param, grad, (m, v) in zip(params, (d_embed, d_filters, d_max.sum(0), d_out), moments, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 param -= 3e-3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -135,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Of several labels of a doc_id the largest counts; null texts and labels are left out. The labels are picked first, so
     that only their documents' texts are read on; the driver holds `sample` texts. With one class only, or no
-    label, every score is that class's share.
+    label, every score is that class's share. Of repeated doc_ids the least text counts. The whole of each text is trained on.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("_y"))
     picked = known.orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
@@ -151,9 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """Adds `score`, the probability of label 1 (a column called so is replaced). Null and empty texts are scored as zero bytes."""
+    """Adds `score`, the probability of label 1 (a column called so, in any case, is replaced).
+
+    Null and empty texts are scored as zero bytes. Each row is judged alone on its whole text, so equal rows get equal scores,
+    and an empty table gives none. Any length is pooled in runs: memory follows a text's own bytes.
+    """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = others(docs, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

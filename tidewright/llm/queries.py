@@ -23,8 +23,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"))
+    shards, ranks = F.col("places")["shard"].alias("shards"), F.col("places")["rank"].alias("ranks")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("places")).alias("taken"), shards, ranks)
 
 
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ from ._spark import materialize, small_batches, width
 #: A perfect difference set: each residue but 0 modulo 133 is the difference of exactly one ordered pair.
 PERIOD = 133
 COVER = np.array([0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109])
+#: Start of every hash.
+SEED = 0x2545F4914F6CDD1D
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 2_000_000
 
@@ -69,13 +71,22 @@ class Block:
     def __init__(self, raw: np.ndarray, ends: np.ndarray):
         self.raw, self.stops = raw, ends
         self.starts = np.r_[0, ends[:-1]].astype(np.int64)
-        self._spans: _text.Spans | None = None
+        self._eight: np.ndarray | None = None
 
     def keys(self, at: np.ndarray, length: int, bits: int) -> np.ndarray:
-        """Fingerprints of the strings of `length` bytes at `at`."""
-        if self._spans is None:
-            self._spans = _text.Spans(_text.byte_codes(self.raw))
-        return self._spans.of(at, at + length) >> np.uint64(64 - bits)
+        """Hashes of the strings of `length` bytes at `at`: eight bytes after eight are mixed in, the last eight overlapping."""
+        if self._eight is None:
+            data = np.r_[self.raw, np.zeros(15, np.uint8)]
+            n = len(self.raw)
+            self._eight = np.empty(n, np.uint64)
+            for i in range(min(8, n)):
+                whole = data[i : i + 8 * -(-(n - i) // 8)].view(np.uint64)
+                self._eight[i::8] = whole
+        out = np.full(len(at), SEED ^ length, np.uint64)
+        for step in [*range(0, length - 8, 8), length - 8]:
+            out = (out ^ self._eight[at + step]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+        return _text.mix(out) >> np.uint64(64 - bits)
 
     def cover(self, length: int) -> np.ndarray:
         """Cover-sample positions with `length` bytes before their document's end."""
