@@ -30,18 +30,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Texts that are null or empty have none and stay; without items every row stays."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.contamination(docs, items).filter("kept").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: each document as often as the mix takes it."""
-    return mixing.mix(docs, SHARDS).withColumn("place", F.explode("places")).select(*docs.columns)
+    """The mix of the sources: each document as often as the mix takes it, in the shards and the order that the mix draws.
+
+    Null sources are one source, equal doc_ids of a source are taken together, and documents without words once in each
+    whole pass; an empty table stays empty.
+    """
+    return mixing.draw(mixing.mix(docs, SHARDS), docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and its slot there."""
+    """Every row with its shard and its slot there: by doc_id, a null one as -1. Repeated rows have slots of their own."""
     return sharding.shard(docs, SHARDS)
 
 
