@@ -1,7 +1,7 @@
 """Latency percentiles in their several definitions, and tail statistics.
 
-An exact percentile is an order statistic. It is found from the counts of distinct values, which Spark adds up on the map side;
-the running sum over them is taken in blocks, so no task holds a group.
+An exact percentile is an order statistic. Values are counted in buckets of about 1.5 % width, a few thousand a group at most; the
+running sum over these says in which bucket the statistic lies, and only that bucket's values are ranked. No task holds a group.
 """
 
 from __future__ import annotations
@@ -18,19 +18,46 @@ RANKS = {
 }
 
 
+def _bits(value: Column) -> Column:
+    """Binary digits of a positive long."""
+    return F.length(F.bin(value))
+
+
+def _bucket(value: Column) -> Column:
+    """A number that does not fall as the value rises: its exponent and six leading digits."""
+    size = F.abs(value)
+    drop = F.greatest(_bits(size) - 6, F.lit(0))
+    return F.signum(value.cast("double")).cast("long") * (drop * 64 + F.call_function("shiftright", size, drop))
+
+
 def percentile(df: DataFrame, by: str, value: str, q: float, kind: str, name: str) -> DataFrame:
-    """(by, name): for each group the order statistic of `kind` (see RANKS)."""
-    counts = df.groupBy(by, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(by)))
+    """(by, name): for each group the order statistic of `kind` (see RANKS) of whole numbers."""
+    counts = df.groupBy(by, value).agg(F.count("*").alias("n")).withColumn("bucket", _bucket(F.col(value).cast("long")))
+    upto = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    cells = counts.groupBy(by, "bucket").agg(F.sum("n").alias("n"))
+    cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(by)))
     index = RANKS[kind](F.col("all"), q).cast("long")
-    return ranked.filter((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index)).select(by, F.col(value).alias(name))
+    cells = cells.withColumn("at", index - (F.col("upto") - F.col("n"))).filter("at >= 0 and at < n").select(by, "bucket", "at")
+    inside = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(cells, [by, "bucket"]).withColumn("upto", F.sum("n").over(inside))
+    return ranked.filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select(by, F.col(value).alias(name))
+
 
+def quantile_sketch(df: DataFrame, by: str, value: str, qs: list[float], digits: int = 11) -> DataFrame:
+    """(by, q, value) from counts of values cut to their `digits` leading binary digits (11: three decimal ones); values below 1 count as 1.
 
-def quantile_sketch(df: DataFrame, by: str, value: str, qs: list[float], accuracy: int = 10_000) -> DataFrame:
-    """(by, q, value) from a mergeable sketch, for data too large for exact order statistics; values below 1 count as 1."""
-    found = df.groupBy(by).agg(F.percentile_approx(F.greatest(F.col(value), F.lit(1)), [float(q) for q in qs], accuracy).alias("v"))
-    return found.select(by, F.posexplode("v").alias("place", "value")).select(by, F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("place") + 1).alias("q"), "value")
+    The largest value of the first bucket up to which a share q of the values lies. Counts of parts add up, and a group has
+    64 * 2**digits buckets at most, whatever its size.
+    """
+    v = F.greatest(F.col(value).cast("long"), F.lit(1))
+    drop = F.greatest(_bits(v) - digits, F.lit(0))
+    top = (F.call_function("shiftright", v, drop) + 1) * F.call_function("shiftleft", F.lit(1).cast("long"), drop) - 1
+    counts = df.groupBy(by, top.alias("value")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(by)))
+    ranked = ranked.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    rank = F.greatest(F.ceil(F.col("q") * F.col("all")), F.lit(1)).cast("long")
+    return ranked.filter((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(by, "q", "value")
 
 
 def sliding(df: DataFrame, by: str, order: str, last: int) -> DataFrame:

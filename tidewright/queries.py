@@ -199,10 +199,11 @@ def ptp_correct(s: DataFrame) -> DataFrame:
     return s.select("seq", a.correct(F.col("ts")).alias("corrected"), a.align(F.col("ts")).alias("aligned"))
 
 
-@register("align_saturates", f"WITH {S} SELECT seq, CAST(-9223372036854775808 AS BIGINT) AS aligned, CAST(9223372036854775807 AS BIGINT) AS corrected FROM S WHERE seq < 5")
+@register("align_saturates", f"WITH {S} SELECT seq, CAST(-9223372036854775808 AS BIGINT) AS aligned, CAST(9223372036854775807 AS BIGINT) AS corrected FROM S")
 def align_saturates(s: DataFrame) -> DataFrame:
-    few = s.filter("seq < 5")
-    return few.select("seq", Aligner(10, 100).align(F.lit(-(2**63)).cast("long")).alias("aligned"), Aligner(10, -100).correct(F.lit(2**63 - 1).cast("long")).alias("corrected"))
+    """Times within 50 ns of either end of the range."""
+    low, high = F.lit(-(2**63)).cast("long") + F.col("ts") % 50, F.lit(2**63 - 1).cast("long") - F.col("ts") % 50
+    return s.select("seq", Aligner(10, 100).align(low).alias("aligned"), Aligner(10, -100).correct(high).alias("corrected"))
 
 
 @register("lag_us", f"WITH {S} SELECT seq, greatest({T1} - ts, 0) // 1000 AS lag_us FROM S")
@@ -353,9 +354,10 @@ def episode_verdict(s: DataFrame) -> DataFrame:
     return quality.verdicts(s, channels, T0, T1)
 
 
-@register("trend_mean_clamped", f"WITH {S}, D AS {first_of(f'(SELECT * FROM S WHERE ts BETWEEN {T0} AND {T1})')} SELECT series, count(*) AS samples, round(greatest(-30.0, least(30.0, avg(value) * -0.5)), 6) AS target FROM D GROUP BY series HAVING count(*) >= 20")
+@register("trend_mean_clamped", f"WITH {S}, D AS {first_of(f'(SELECT * FROM S WHERE ts BETWEEN {T0} AND {T1})')} SELECT series, count(*) AS samples, greatest(-3000.0, least(3000.0, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) * -0.5)) AS target FROM D GROUP BY series HAVING count(*) >= 20")
 def trend_mean_clamped(s: DataFrame) -> DataFrame:
-    return quality.trend(s, T0, T1, 20, -0.5, 30.0).select("series", "samples", rounded("target", 6))
+    """Of values in whole hundredths, whose sum is exact in any order."""
+    return quality.trend(s.withColumn("value", F.round(F.col("value") * 100)), T0, T1, 20, -0.5, 3000.0)
 
 
 @register(
@@ -383,7 +385,24 @@ def catch_up_grid(s: DataFrame) -> DataFrame:
     return quality.catch_up(state, BASE + 30 * DAY, 1 / 3600)
 
 
-register("fnv_digest", None)(lambda s: quality.digest(s))
+#: The bits of a double in SQL: sign, exponent and fraction, by exact divisions by powers of two.
+_BITS = """X AS (SELECT series, ts, abs(value) AS a, value < 0 AS neg, CASE WHEN value = 0 THEN 0 ELSE CAST(floor(log2(abs(value))) AS INTEGER) END AS e0 FROM D),
+Y AS (SELECT *, CASE WHEN a = 0 THEN 0 WHEN a / pow(2.0, e0) >= 2 THEN e0 + 1 WHEN a / pow(2.0, e0) < 1 THEN e0 - 1 ELSE e0 END AS e FROM X),
+V AS (SELECT series, ts, (CASE WHEN neg THEN CAST(9223372036854775808 AS HUGEINT) ELSE 0 END) + CASE WHEN a = 0 THEN 0 ELSE CAST(e + 1023 AS HUGEINT) * 4503599627370496 + CAST((a / pow(2.0, e) - 1) * 4503599627370496.0 AS HUGEINT) END AS bits FROM Y)"""
+_LE = "list_transform(range({n}), lambda i: CAST(({x} // CAST(pow(256.0, i) AS HUGEINT)) % 256 AS HUGEINT))"
+
+
+@register(
+    "fnv_digest",
+    f"""WITH {S}, D AS {first_of('S')}, {_BITS},
+    B AS (SELECT series, ts, list_concat(list_concat({_LE.format(n=4, x='CAST(series AS HUGEINT)')}, {_LE.format(n=8, x='CAST(ts AS HUGEINT)')}), {_LE.format(n=8, x='bits')}) AS b FROM V),
+    L AS (SELECT series, flatten(list(b ORDER BY ts)) AS b FROM B GROUP BY series)
+    SELECT series, lower(lpad(hex(CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), b), lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616) AS UBIGINT)), 16, '0')) AS digest FROM L""",
+)
+def fnv_digest(s: DataFrame) -> DataFrame:
+    return quality.digest(s)
+
+
 register("lru_simulation", None)(lambda s: simulate(s, 500))
 
 
@@ -413,7 +432,15 @@ def pct_sliding_window(s: DataFrame) -> DataFrame:
     return stats.percentile(last, "series", "ns", 0.99, "nearest", "p")
 
 
-register("hdr_quantiles", None)(lambda s: stats.quantile_sketch(latencies(s), "variant", "ns", [0.5, 0.99, 0.999]))
+HDR_SQL = """H AS (SELECT variant, greatest(ns, 1) AS v, greatest(length(bin(greatest(ns, 1))) - 11, 0) AS d FROM LAT),
+C AS (SELECT variant, ((v >> d) + 1) * (CAST(1 AS BIGINT) << d) - 1 AS value, count(*) AS n FROM H GROUP BY variant, 2),
+R AS (SELECT *, sum(n) OVER (PARTITION BY variant ORDER BY value) AS upto, sum(n) OVER (PARTITION BY variant) AS every FROM C)
+SELECT variant, q, value FROM R, (VALUES (CAST(0.5 AS DOUBLE)), (0.99), (0.999)) t(q) WHERE upto >= greatest(ceil(q * every), 1) AND upto - n < greatest(ceil(q * every), 1)"""
+
+
+@register("hdr_quantiles", f"WITH {CENTS}, {HDR_SQL}")
+def hdr_quantiles(s: DataFrame) -> DataFrame:
+    return stats.quantile_sketch(latencies(s), "variant", "ns", [0.5, 0.99, 0.999])
 
 
 @register("jitter_stats", f"WITH {CENTS}, {ORDERED} SELECT variant, any_value(n) AS n, round(avg(ns), 4) AS mean, round(stddev_pop(ns), 4) AS stddev, greatest(max(ns) FILTER (WHERE i = floor((n - 1) * 0.999 + 0.5)) - max(ns) FILTER (WHERE i = floor((n - 1) * 0.5 + 0.5)), 0) AS jitter FROM O GROUP BY variant")
