@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from tidewright.db import ChunkBuffer, Db
 from tidewright.edge import EdgeConfig, EdgeNode
 from tidewright.export import export_episode, main, stream_episode
+from tidewright.functions.names import catalog_line
 from tidewright.model import Config, CorruptError, EpisodeSpec, NotFoundError, ProtocolError
 from tidewright.operators.predicates import Pred
 from tidewright.operators.scan import scan
 from tidewright.plans.store import SegmentStore
-from tidewright.protocol import Put, Scan, handle_line, parse_command, server
-from tidewright.sources.files import decode_frames, encode_frames, latencies, log_frames, mirror_datagram, parse_datagram
+from tidewright.protocol import Put, Scan, _text, handle_line, parse_command, server
+from tidewright.sources.files import archive_catalog, decode_frames, encode_frames, latencies, log_frames, mirror_datagram, parse_datagram
 from tidewright.sources.generator import series_samples, workload
 from tidewright.sources.segments import decode_segment, encode_segment, read_segments
 from tidewright.sources.specs import load_bindings, parse_bindings, parse_episodes, save_bindings
@@ -86,6 +87,8 @@ def test_facade(spark, tmp_path):
     assert db.latest(1) == (BASE + 999_000, 999.0)
     assert db.scan(1, BASE, BASE + 10**7, "avg") == [(BASE, 499.5)]
     assert db.put_durable(1, BASE + 1_000_000, 7.0) == 1001
+    assert db.segment_count == 0
+    db.seal()
     db.put(1, BASE + 1_000_000, 8.0)
     db.put(2, -5, 1.0)
     assert db.latest(1) == (BASE + 1_000_000, 7.0)
@@ -105,6 +108,102 @@ def test_facade(spark, tmp_path):
         Db(str(tmp_path), sync="never", spark=spark)
 
 
+@pytest.mark.parametrize(("sync", "lost"), [("always", 0), ("group", 3), ("none", 8)])
+def test_a_crash_loses_no_durable_sample(spark, tmp_path, sync, lost):
+    """A new engine on the directory stands for the process after a kill: nothing was closed or sealed."""
+    db = Db(str(tmp_path / "db"), sync=sync, group_interval_us=10**9, spark=spark)
+    for i in range(5):
+        db.put(1, i, float(i))
+    if sync != "none":
+        db.flush()
+    for i in range(5, 8):
+        db.put(1, i, float(i))
+    assert db.durable_watermark == 8 - lost
+    again = Db(str(tmp_path / "db"), spark=spark)
+    assert again.scan(1, 0, 99) == [(i, float(i)) for i in range(8 - lost)]
+    again.put(1, 0, 50.0)
+    again.put(1, 9, 9.0)
+    again.seal()
+    last = Db(str(tmp_path / "db"), spark=spark)
+    assert last.memtable_len == 0
+    assert last.scan(1, 0, 99) == [(i, float(i)) for i in range(8 - lost)] * (lost < 8) + ([(0, 50.0)] if lost == 8 else []) + [(9, 9.0)]
+
+
+def test_a_torn_log_ends_at_its_last_whole_frame(spark, tmp_path):
+    db = Db(str(tmp_path / "db"), sync="always", spark=spark)
+    for i in range(3):
+        db.put(1, i, 1.0)
+    (last,) = [p for p in (tmp_path / "db" / "log").glob("*3.log")]
+    last.write_bytes(last.read_bytes()[:-1])
+    for crc in (tmp_path / "db" / "log").glob(".*.crc"):
+        crc.unlink()
+    assert Db(str(tmp_path / "db"), spark=spark).scan(1, 0, 9, "count") == [(0, 2.0)]
+
+
+def test_writers_lose_nothing_during_seals(spark, tmp_path):
+    db = Db(str(tmp_path / "db"), sync="none", spark=spark)
+
+    def write(lane):
+        for i in range(300):
+            db.put(lane, i, float(i))
+            time.sleep(0.002)
+
+    threads = [threading.Thread(target=write, args=(lane,)) for lane in (1, 2)]
+    for t in threads:
+        t.start()
+    while any(t.is_alive() for t in threads):
+        db.seal()
+    db.seal()
+    assert db.memtable_len == 0
+    assert [db.scan(lane, 0, 999, "count")[0][1] for lane in (1, 2)] == [300.0, 300.0]
+
+
+def test_a_failed_seal_keeps_the_buffer(spark, tmp_path, monkeypatch):
+    db = Db(str(tmp_path / "db"), spark=spark)
+    db.put(1, 1, 1.0)
+    monkeypatch.setattr(db.store, "seal", lambda rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        db.seal()
+    assert db.scan(1, 0, 9) == [(1, 1.0)]
+    assert Db(str(tmp_path / "db"), spark=spark).scan(1, 0, 9) == [(1, 1.0)]
+
+
+def test_one_of_two_writers_commits(spark, tmp_path):
+    store = store_with(spark, tmp_path, [(1, 1, 1)])
+    both, found = threading.Barrier(2), []
+
+    def commit():
+        mine = SegmentStore(spark, store.root)
+        base, catalog = mine.version(), mine.catalog()
+        both.wait()
+        try:
+            mine._commit(catalog, base)
+            found.append("done")
+        except NotFoundError:
+            found.append("lost")
+
+    threads = [threading.Thread(target=commit) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(found) == ["done", "lost"]
+    assert store.version() == 2
+    assert [size > 0 for _, size in store.listing()] == [True]
+
+
+def test_numbers_of_the_protocol():
+    assert [_text(v) for v in (float("nan"), float("inf"), 1e16, 1.5, -0.25, 3.0, 1e-7, 0.1)] == ["NaN", "inf", "10000000000000000", "1.5", "-0.25", "3", "0.0000001", "0.1"]
+
+
+def test_last_line_of_a_name_counts(spark, tmp_path):
+    path = tmp_path / "archive.log"
+    path.write_text("\n".join([catalog_line("a", 1, 0, 5, 1.0, 2.0, 3), "broken", catalog_line("b", 1, 0, 5, float("nan"), 2.5, 3), catalog_line("a", 1, 0, 9, -1.0, 2.0, 4)]) + "\n")
+    got = {r["name"]: (r["max_ts"], r["min_val"], r["count"]) for r in archive_catalog(spark, str(path)).collect()}
+    assert got["a"] == (9, -1.0, 4)
+    assert got["b"][1] != got["b"][1]
+
+
 def test_deterministic_profile_evicts_series(spark):
     db = Db(config=Config.deterministic().with_(memtable_max=4), spark=spark)
     for row in [(1, 1, 1.0), (2, 1, 2.0), (1, 2, 1.5), (3, 1, 3.0), (3, 2, 3.5), (2, 5, 9.0)]:

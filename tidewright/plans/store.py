@@ -7,6 +7,8 @@ consistent snapshot and a failed job leaves only unreferenced files.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from ..model import SEGMENTS, NotFoundError
 from ..operators.predicates import Pred, time_zone_overlaps
 from ..operators.scan import dedup, in_range
 
+#: After so many milliseconds a claim on a catalog version is taken for left by a dead writer.
+STALE_MS = 3_600_000
 _ROWS = "series long, ts long, value double, seg_seq long, seq long, home long"
 
 
@@ -73,10 +77,27 @@ class SegmentStore:
         return self.spark.read.schema(SEGMENTS).parquet(f"{self.root}/catalog/v{v:09d}") if v else self.spark.createDataFrame([], SEGMENTS)
 
     def _commit(self, catalog: DataFrame, base: int) -> None:
-        """Publish a catalog made from version `base`; fails if another writer was faster."""
+        """Publish a catalog made from version `base`; fails if another writer was faster.
+
+        The number after `base` is claimed by creating a file that must not exist, which the file system grants to one writer
+        only. A claim whose writer died is given up after STALE_MS.
+        """
+        claim = f"{self.root}/catalog/claim-{base + 1:09d}"
+        fs, target = self._fs(claim)
         if self.version() != base:
             raise NotFoundError("the catalog changed meanwhile; try again")
-        catalog.coalesce(1).write.parquet(f"{self.root}/catalog/v{base + 1:09d}")
+        if fs.exists(target) and time.time() * 1000 - fs.getFileStatus(target).getModificationTime() > STALE_MS:
+            fs.delete(target, False)
+        try:
+            fs.create(target, False).close()
+        except Exception as x:
+            raise NotFoundError("the catalog changed meanwhile; try again") from x
+        try:
+            if self.version() != base:
+                raise NotFoundError("the catalog changed meanwhile; try again")
+            catalog.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/catalog/v{base + 1:09d}")
+        finally:
+            fs.delete(target, False)
 
     def _place(self, tier: str, home: int) -> str:
         return f"{self.root if tier == 'local' else self.cold}/data/home={home:09d}"
@@ -103,9 +124,12 @@ class SegmentStore:
         best = rows.select("series", "ts", "value", "seq").groupBy("series", "ts").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
         best = best.withColumn("seg_seq", F.lit(home).cast("long"))
         self._write(best, "local", home)
-        made = self._entries(home, "local").withColumn("distinct", F.lit(True))
-        self._commit(catalog.unionByName(made), base)
-        return made.count()
+        made = self._entries(home, "local").withColumn("distinct", F.lit(True)).persist()
+        try:
+            self._commit(catalog.unionByName(made), base)
+            return made.count()
+        finally:
+            made.unpersist()
 
     def _entries(self, home: int, tier: str) -> DataFrame:
         """Catalog rows of a written directory, but for `distinct`: whether no ts of the segment has two writers."""
@@ -184,6 +208,18 @@ class SegmentStore:
         self._commit(catalog.join(plan.select("name"), "name", "left_anti").unionByName(made), base)
         return {"runs": 1, "input_segments": inputs[0], "output_segments": inputs[1], "rows": inputs[2]}
 
+    def listing(self, tier: str = "local") -> list[tuple[str, int]]:
+        """Path and bytes of every data file of a tier, by path."""
+        fs, top = self._fs(f"{self.root if tier == 'local' else self.cold}/data")
+        if not fs.exists(top):
+            return []
+        files, out = fs.listFiles(top, True), []
+        while files.hasNext():
+            f = files.next()
+            if f.getPath().getName().startswith("part-"):
+                out.append((f.getPath().toString(), f.getLen()))
+        return sorted(out)
+
     def vacuum(self, keep: int = 1) -> int:
         """Delete catalog versions but the newest `keep`, and data directories that none of these names."""
         newest = self.version()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import socketserver
 from dataclasses import dataclass
+from decimal import Decimal
 
 from .db import Db
 from .model import EngineError, ProtocolError
@@ -55,7 +56,13 @@ def parse_command(line: str) -> Put | Scan | None:
 
 
 def _text(value: float) -> str:
-    return repr(value).removesuffix(".0")
+    """The shortest digits that give the value back, all of them and without an exponent; NaN, inf and -inf by name."""
+    if value != value:
+        return "NaN"
+    if value in (float("inf"), float("-inf")):
+        return "inf" if value > 0 else "-inf"
+    digits = format(Decimal(repr(value)), "f")
+    return digits.rstrip("0").rstrip(".") if "." in digits else digits
 
 
 def handle_line(db: Db, line: str) -> str:

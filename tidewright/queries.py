@@ -6,20 +6,27 @@ as the two engines add doubles in different orders.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .db import Db
+from .export import episode_path, export_episode
 from .functions.align import Aligner, due_ns, floor_div, frame_count, lag_us
 from .functions.fields import FieldSelector
 from .functions.names import parse_catalog_line, parse_segment_name, segment_name, valid_name
-from .model import EpisodeSpec, TimeSpan
+from .model import SENTINEL_SERIES, EpisodeSpec, TimeSpan
 from .operators import quality, resample, stats
 from .operators.predicates import Pred, aggregate_all, time_zone_overlaps
 from .operators.scan import chunks, dedup, first_and_last, in_range, latest, scan, scan_each, window
-from .plans.store import archivable, compaction_plan, prune, zone_maps
-from .streaming.ingest import bind
+from .plans.store import SegmentStore, archivable, compaction_plan, prune, zone_maps
+from .sources.files import committed, encode_frames, frames_in
+from .sources.segments import pack, unpack
+from .streaming.ingest import batch_table, bind, first_writers, latest_values, start_bridge
 from .streaming.lru import simulate
 
 DAY = 86_400_000_000_000
@@ -543,15 +550,6 @@ def segment_union_dedup(s: DataFrame) -> DataFrame:
     return dedup(_by_day(s).withColumn("seg_seq", F.col("seq") % 3))
 
 
-@register("compact_identity", f"WITH {S}, X AS (SELECT series, {sql_floor('ts', DAY)} AS ts, value, seq % 3 AS seg, seq FROM S WHERE value > 50.0) SELECT series, ts, value FROM X QUALIFY row_number() OVER (PARTITION BY series, ts ORDER BY seg, seq) = 1")
-def compact_identity(s: DataFrame) -> DataFrame:
-    """A predicated scan of merged segments: duplicates survive the merge, in their order of writing."""
-    before = _by_day(s).withColumn("seg_seq", F.col("seq") % 3)
-    rank = F.row_number().over(Window.partitionBy("series", "ts").orderBy("seg_seq", "seq")).cast("long")
-    merged = before.withColumn("seq", rank).withColumn("seg_seq", F.lit(9).cast("long"))
-    return dedup(in_range(merged, -(2**63), 2**63 - 1, Pred.gt(50.0)))
-
-
 TIERED = "T AS (SELECT *, CASE WHEN (series + seg_seq) % 7 = 0 THEN 'cold' ELSE 'local' END AS tier FROM Z)"
 
 
@@ -586,7 +584,8 @@ def time_overlap(s: DataFrame) -> DataFrame:
 
 @register("committed_source", f"WITH {S}, X AS (SELECT CASE WHEN seq % 5 = 0 THEN 4294967295 ELSE series END AS series, ts, value FROM S) SELECT series, count(*) AS n FROM X WHERE series <> 4294967295 GROUP BY series")
 def committed_source(s: DataFrame) -> DataFrame:
-    return s.withColumn("series", F.when(F.col("seq") % 5 == 0, F.lit(2**32 - 1)).otherwise(F.col("series"))).filter(F.col("series") != 2**32 - 1).groupBy("series").agg(F.count("*").alias("n"))
+    marked = s.withColumn("series", F.when(F.col("seq") % 5 == 0, F.lit(SENTINEL_SERIES)).otherwise(F.col("series")))
+    return committed(marked).groupBy("series").agg(F.count("*").alias("n"))
 
 
 @register("aggregate_nan_safe", f"WITH {S}, X AS (SELECT series, CASE WHEN seq % 4 = 0 OR series % 10 = 0 THEN NULL ELSE value END AS v FROM S) SELECT series, coalesce(min(v), 1e308) AS lo, coalesce(max(v), -1e308) AS hi, CAST(count(*) AS DOUBLE) AS count FROM X GROUP BY series")
@@ -597,6 +596,187 @@ def aggregate_nan_safe(s: DataFrame) -> DataFrame:
     return out.select("series", F.least("min", F.lit(1e308)).alias("lo"), F.greatest("max", F.lit(-1e308)).alias("hi"), "count")
 
 
+# --- the store: written, changed and read again ---
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new directory in the folder that driver and executors share; it goes when the application ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tidewright-")
+    path = f"{root.rstrip('/')}/db-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def _sealed(s: DataFrame, cold: bool = False) -> SegmentStore:
+    """Three batches by seq % 3, sealed one after the other; day-aligned times make them overlap."""
+    path = scratch(s.sparkSession)
+    store = SegmentStore(s.sparkSession, path, f"{path}/cold" if cold else None)
+    for k in range(3):
+        store.seal(_by_day(s).filter(F.col("seq") % 3 == k))
+    return store
+
+
+#: In SQL: a seal keeps the first writer of a time; of segments the first one's sample is visible, after the predicate.
+SEALED_SQL = f"Q AS (SELECT * FROM (SELECT series, {sql_floor('ts', DAY)} AS ts, value, seq % 3 + 1 AS seg_seq, seq FROM S) QUALIFY row_number() OVER (PARTITION BY series, ts, seg_seq ORDER BY seq) = 1)"
+VISIBLE_SQL = "SELECT series, ts, value FROM (SELECT * FROM Q WHERE {cond}) QUALIFY row_number() OVER (PARTITION BY series, ts ORDER BY seg_seq) = 1"
+_MERGED_SQL = f"WITH {S}, {SEALED_SQL} {VISIBLE_SQL.format(cond=f'ts BETWEEN {T0} AND {T1} AND value > 50.0')}"
+
+
+@register("store_scan", _MERGED_SQL)
+def store_scan(s: DataFrame) -> DataFrame:
+    return _sealed(s).visible(None, T0, T1, Pred.gt(50.0))
+
+
+@register("compact_identity", _MERGED_SQL)
+def compact_identity(s: DataFrame) -> DataFrame:
+    """A predicated scan after the segments were merged: duplicates survive the merge, in their order of writing."""
+    store = _sealed(s)
+    store.compact()
+    return store.visible(None, T0, T1, Pred.gt(50.0))
+
+
+_ZONES_SQL = "min(ts) AS min_ts, max(ts) AS max_ts, min(value) AS min_val, max(value) AS max_val, count(*) AS count"
+
+
+@register("store_catalog", f"WITH {S}, {SEALED_SQL} SELECT 'seg-' || lpad(CAST(seg_seq AS VARCHAR), 6, '0') || '-s' || CAST(series AS VARCHAR) || '.seg' AS name, series, seg_seq, {_ZONES_SQL}, 'local' AS tier FROM Q GROUP BY series, seg_seq")
+def store_catalog(s: DataFrame) -> DataFrame:
+    return _sealed(s).catalog().drop("home", "distinct")
+
+
+@register("store_compacted_catalog", f"WITH {S}, {SEALED_SQL}, M AS (SELECT series, count(DISTINCT seg_seq) AS parts, max(seg_seq) AS last, {_ZONES_SQL} FROM Q GROUP BY series) SELECT series, CASE WHEN parts > 1 THEN 4 ELSE last END AS seg_seq, min_ts, max_ts, min_val, max_val, count FROM M")
+def store_compacted_catalog(s: DataFrame) -> DataFrame:
+    store = _sealed(s)
+    store.compact()
+    return store.catalog().select("series", "seg_seq", "min_ts", "max_ts", "min_val", "max_val", "count")
+
+
+def _in_thirds(s: DataFrame) -> SegmentStore:
+    """Batches of ten days each, of which the first is archived."""
+    path = scratch(s.sparkSession)
+    store = SegmentStore(s.sparkSession, path, f"{path}/cold")
+    for k in range(3):
+        lo = F.col("ts") >= BASE + 10 * k * DAY if k else F.lit(True)
+        store.seal(s.filter(lo & (F.col("ts") < BASE + 10 * (k + 1) * DAY if k < 2 else F.lit(True))))
+    store.archive_older_than(BASE + 10 * DAY)
+    return store
+
+
+@register("store_archived_scan", f"WITH {S} SELECT series, ts, value FROM {first_of(f'(SELECT * FROM S WHERE ts BETWEEN {T0} AND {T1})')}")
+def store_archived_scan(s: DataFrame) -> DataFrame:
+    """Local and archived segments in one scan."""
+    return _in_thirds(s).visible(None, T0, T1)
+
+
+@register("store_tiers", f"WITH {S}, D AS {first_of('S')}, P AS (SELECT series, least(greatest((ts - {BASE}) // {10 * DAY}, 0), 2) AS k, count(*) AS n FROM D GROUP BY ALL) SELECT CASE WHEN k = 0 THEN 'cold' ELSE 'local' END AS tier, count(*) AS segments, CAST(sum(n) AS BIGINT) AS rows FROM P GROUP BY 1")
+def store_tiers(s: DataFrame) -> DataFrame:
+    return _in_thirds(s).catalog().groupBy("tier").agg(F.count("*").alias("segments"), F.sum("count").alias("rows"))
+
+
+@register("store_reopened_latest", f"WITH {S}, {SEALED_SQL} SELECT series, ts, value FROM Q QUALIFY row_number() OVER (PARTITION BY series ORDER BY ts DESC, seg_seq) = 1")
+def store_reopened_latest(s: DataFrame) -> DataFrame:
+    """Merged, cleaned up and opened anew."""
+    store = _sealed(s)
+    store.compact()
+    store.vacuum()
+    return latest(SegmentStore(s.sparkSession, store.root).samples(None, -(2**63), 2**63 - 1))
+
+
+def _reopened(s: DataFrame) -> Db:
+    """An engine with everything sealed and three single writes in its log, opened again without a seal: two new times, and one that is taken."""
+    path = scratch(s.sparkSession)
+    db = Db(path, spark=s.sparkSession)
+    db.ingest(s)
+    taken = db.latest(3)[0]
+    for ts, value in ((T0, 1.0), (T0 + 1, 2.0), (taken, 3.0)):
+        db.put(3, ts, value)
+    db.flush()
+    return Db(path, spark=s.sparkSession)
+
+
+_LOGGED = f"W AS (SELECT series, ts, value, seq FROM S UNION ALL SELECT 3, {T0}, 1.0, 1000000000000 UNION ALL SELECT 3, {T0 + 1}, 2.0, 1000000000001)"
+
+
+@register("db_replayed_scan", f"WITH {S}, {_LOGGED} SELECT ts, value FROM {first_of(f'(SELECT * FROM W WHERE {RANGE_SQL})')}")
+def db_replayed_scan(s: DataFrame) -> DataFrame:
+    return _reopened(s).scan_frame(3, T0, T1)
+
+
+@register("db_replayed_avg", f"WITH {S}, {_LOGGED} SELECT CAST({T0} AS BIGINT) AS ts, round(avg(value), 8) AS value FROM {first_of(f'(SELECT * FROM W WHERE {RANGE_SQL} AND value BETWEEN 1.5 AND 60.0)')} HAVING count(*) > 0")
+def db_replayed_avg(s: DataFrame) -> DataFrame:
+    return _reopened(s).scan_frame(3, T0, T1, Pred.between(1.5, 60.0), "avg").select("ts", rounded("value", 8))
+
+
+@register("segment_files", f"WITH {S} SELECT series, ts, value FROM {first_of('S')} WHERE ts BETWEEN {T0} AND {T1}")
+def segment_files(s: DataFrame) -> DataFrame:
+    """Binary segment files, written and read."""
+    return unpack(pack(dedup(s)), T0, T1).select("series", "ts", "value")
+
+
+@register("log_files", f"WITH {S} SELECT series, ts, value, CAST(seq AS BIGINT) AS seq FROM (SELECT series, ts, value, row_number() OVER (PARTITION BY series ORDER BY seq) - 1 AS seq, count(*) OVER (PARTITION BY series) AS n FROM S) WHERE series % 5 <> 0 OR seq < n - 1")
+def log_files(s: DataFrame) -> DataFrame:
+    """Binary logs, of which every fifth lost its last byte: the frame it belongs to is not read."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = encode_frames([(int(x), int(t), float(v)) for x, t, v in pdf.sort_values("seq")[["series", "ts", "value"]].itertuples(index=False)])
+        series = int(pdf["series"].iloc[0])
+        return pd.DataFrame({"path": [str(series)], "content": [data[:-1] if series % 5 == 0 else data]})
+
+    logs = s.select("series", "ts", "value", "seq").groupBy("series").applyInPandas(write, "path string, content binary")
+    return frames_in(logs).select("series", "ts", "value", "seq")
+
+
+@register("episode_export", f"{FRAMES_SQL} SELECT CAST(timestamp AS BIGINT) AS timestamp, coalesce(a, -1) AS a_pos, coalesce(b, -1) AS b, coalesce(a, -1) AS a2 FROM V")
+def episode_export(s: DataFrame) -> DataFrame:
+    """An exported episode file, read again."""
+    root = scratch(s.sparkSession)
+    export_episode(_scaled(s), FIXED, root)
+    found = s.sparkSession.read.parquet(episode_path(root, 0))
+    return found.select("timestamp", *[F.nanvl(F.col(c), F.lit(-1.0)).alias(n) for c, n in (("`a.pos`", "a_pos"), ("b", "b"), ("a2", "a2"))])
+
+
+# --- streams: from files, until nothing is left ---
+
+
+def _streamed(df: DataFrame, root: str) -> DataFrame:
+    df.coalesce(1).write.parquet(f"{root}/in")
+    return df.sparkSession.readStream.schema(df.schema).parquet(f"{root}/in")
+
+
+@register("stream_bridge", f"WITH {MESSAGE_SQL} SELECT CASE WHEN durable THEN 'durable' ELSE 'fast' END AS lane, CAST(series AS BIGINT) AS series, count(*) AS n, round(sum(value), 4) AS total FROM J WHERE value IS NOT NULL GROUP BY ALL")
+def stream_bridge(s: DataFrame) -> DataFrame:
+    """What the bridge's two lanes wrote."""
+    root, spark = scratch(s.sparkSession), s.sparkSession
+    payload = F.when(F.col("seq") % 10 == 0, F.lit('{"k": "text"}')).otherwise(F.col("props"))
+    stream = _streamed(s.select(F.col("event_type").alias("topic"), "ts", payload.alias("payload")), root)
+    bindings = spark.createDataFrame([(t, x, d, "k") for t, (x, d) in BOUND.items()], "topic string, series long, durable boolean, field string")
+    query, _ = start_bridge(stream, bindings, f"{root}/checkpoint", batch_table(f"{root}/fast"), batch_table(f"{root}/durable"))
+    query.awaitTermination()
+    lanes = [spark.read.parquet(f"{root}/{lane}").select(F.lit(lane).alias("lane"), "series", "value") for lane in ("fast", "durable")]
+    return lanes[0].unionByName(lanes[1]).groupBy("lane", "series").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@register("stream_first_writers", f"WITH {S} SELECT series, ts, value FROM {first_of(ALIGNED)}")
+def stream_first_writers(s: DataFrame) -> DataFrame:
+    root = scratch(s.sparkSession)
+    found = first_writers(_streamed(_by_day(s).select("series", "ts", "value", "seq"), root), 100 * DAY)
+    found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.sparkSession.read.schema("series long, ts long, value double").parquet(f"{root}/out")
+
+
+@register("stream_latest", f"WITH {S} SELECT series, ts, value FROM {ALIGNED} QUALIFY row_number() OVER (PARTITION BY series ORDER BY ts DESC, seq) = 1")
+def stream_latest(s: DataFrame) -> DataFrame:
+    root = scratch(s.sparkSession)
+    found = latest_values(_streamed(_by_day(s).select("series", "ts", "value", "seq"), root))
+    write = found.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/out")).start().awaitTermination()
+    return s.sparkSession.read.parquet(f"{root}/out")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, min, max, sum and avg of every series' visible samples in a range that meet a predicate."""
     return QUERIES["agg_by_series_pred"](spark, sf_dir)

@@ -31,8 +31,15 @@ def latencies(spark: SparkSession, path: str, slope: float = 1.0, offset: float
 
 def archive_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Archive catalog lines as rows; malformed lines are skipped, of one name the last line of its file counts."""
-    found = spark.read.text(path).select(parse_catalog_line(F.col("value")).alias("c")).filter("c is not null").select("c.*")
-    as_double = F.udf(lambda b: bits_double(int(b)), "double")  # a handful of catalog rows; Spark has no bit cast
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"), F.input_file_name().alias("file"))
+    found = lines.select("file", "line", parse_catalog_line(F.col("value")).alias("c")).filter("c is not null")
+    found = found.groupBy("file", "c.name").agg(F.max_by("c", "line").alias("c")).select("c.*")
+
+    @F.pandas_udf("string")
+    def digits(bits: pd.Series) -> pd.Series:  # as text, since pandas and Arrow take NaN for null
+        return pd.Series([repr(bits_double(int(b))) for b in bits], dtype=object)
+
+    as_double = lambda c: digits(c).cast("double")
     return found.select("name", "series", "min_ts", "max_ts", as_double("min_bits").alias("min_val"), as_double("max_bits").alias("max_val"), "count")
 
 
@@ -58,6 +65,11 @@ def decode_frames(data: bytes) -> Iterator[tuple[int, int, float]]:
 
 def log_frames(spark: SparkSession, path: str) -> DataFrame:
     """(path, series, ts, value, seq) of binary logs, each read to its first broken frame; control records are left out."""
+    return frames_in(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def frames_in(logs: DataFrame) -> DataFrame:
+    """The same of a table (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -65,7 +77,12 @@ def log_frames(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(name, s, t, v, i) for i, (s, t, v) in enumerate(decode_frames(content)) if s != SENTINEL_SERIES]
                 yield pd.DataFrame(rows, columns=["path", "series", "ts", "value", "seq"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, series long, ts long, value double, seq long")
+    return logs.mapInPandas(run, "path string, series long, ts long, value double, seq long")
+
+
+def committed(rows: DataFrame) -> DataFrame:
+    """The samples of a committed log: without its control records."""
+    return rows.filter(F.col("series") != SENTINEL_SERIES)
 
 
 def mirror_datagram(series: int, ts: int, value: float) -> bytes:

@@ -127,13 +127,40 @@ def decode_segment(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     return series, ts, decode_values(rest[8:], count)
 
 
+def misses(data: bytes, t0: int, t1: int) -> bool:
+    """Whether a segment file's head says that it has no sample in [t0, t1]."""
+    if len(data) < len(MAGIC) + HEAD.size:
+        return False  # malformed: decoding says so
+    _, _, low, high, *_ = HEAD.unpack_from(data, len(MAGIC))
+    return high < t0 or low > t1
+
+
+def pack(samples: DataFrame) -> DataFrame:
+    """(path, content): a segment file's bytes for each series of (series, ts, value), in time order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        series = int(pdf["series"].iloc[0])
+        return pd.DataFrame({"path": [f"s{series}"], "content": [encode_segment(series, pdf["ts"].to_numpy(), pdf["value"].to_numpy())]})
+
+    return samples.groupBy("series").applyInPandas(run, "path string, content binary")
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """(path, series, ts, value, seq) of segment files; a malformed file fails the job."""
+    return unpack(spark.read.format("binaryFile").load(path).select("path", F.col("content")))
+
+
+def unpack(files: DataFrame, t0: int = -(2**63), t1: int = 2**63 - 1) -> DataFrame:
+    """The same of a table (path, content); files that end before t0 or begin after t1 are not decoded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                if misses(content, t0, t1):
+                    continue
                 series, ts, values = decode_segment(content)
-                yield pd.DataFrame({"path": name, "series": series, "ts": ts, "value": values, "seq": np.arange(len(ts))})
+                own = (ts >= t0) & (ts <= t1)
+                yield pd.DataFrame({"path": name, "series": series, "ts": ts[own], "value": values[own], "seq": np.flatnonzero(own)})
 
-    return spark.read.format("binaryFile").load(path).select("path", F.col("content")).mapInPandas(run, "path string, series long, ts long, value double, seq long")
+    return files.mapInPandas(run, "path string, series long, ts long, value double, seq long")
