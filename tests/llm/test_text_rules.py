@@ -130,19 +130,103 @@ def test_quality_of_held_out_documents(spark):
     assert ((x["predicted"] == 0) & (x["y"] == 1)).sum() < 0.03 * len(x)
 
 
-def test_words_of_the_toxicity_model():
-    word, row = toxicity.tokens(*_text.texts(pa.array(["Été, été!", "CLOWN clown2", None, "..."])))
-    assert list(row) == [0, 0, 1, 1]
-    assert word[0] == word[1]
-    assert word[2] == word[3]
-    assert word[0] != word[2]
-
-
-def test_counts_cover_every_word(docs_of):
-    docs = docs_of([(i, "foo bar foo" if i % 2 else "bar baz") for i in range(40)]).withColumn("cls", (F.col("doc_id") % 2).cast("int"))
-    got = {(r["cls"], r["word"]): r["n"] for r in toxicity.count(docs).collect()}
-    word = toxicity.tokens(*_text.texts(pa.array(["foo bar baz"])))[0].view(np.int64)
-    assert got == {(1, word[0]): 40, (1, word[1]): 20, (0, word[1]): 20, (0, word[2]): 20}
+def symbols(text):
+    """The symbols of a text, by the definition."""
+    out = []
+    for x in (int(v) for v in toxicity._SYMBOL[np.frombuffer(text.encode(), np.uint8)]):
+        if x or (out and out[-1]):
+            out.append(x)
+    return out
+
+
+def ngrams_by_hand(text):
+    padded = [0] * (toxicity.ORDER - 1) + symbols(text)
+    return [tuple(padded[i : i + toxicity.ORDER]) for i in range(len(padded) - toxicity.ORDER + 1)]
+
+
+def code_of(gram):
+    return sum(x << toxicity.BITS * i for i, x in enumerate(reversed(gram)))
+
+
+def test_ngrams_of_the_toxicity_model():
+    texts = ["You clown, you!", None, "", "..a  b", "Été", "x", "--", "the end"]
+    code, row = toxicity.grams(*_text.texts(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert [int(c) for c in code[row == i]] == [code_of(g) for g in ngrams_by_hand(t or "")]
+
+
+def kneser_ney(texts):
+    """Log-ratio of each n-gram and of each context, straight from the formulas, with no table and no join."""
+    n, counts = toxicity.ORDER, [Counter(g for t, c in texts if c == cls for g in ngrams_by_hand(t)) for cls in (0, 1)]
+    seen = set(counts[0]) | set(counts[1])
+
+    def discount(c):
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        return once / (once + 2 * twice) if once and twice else 0.5
+
+    levels, now = {}, seen
+    for size in range(n - 1, 0, -1):
+        levels[size] = Counter(g[1:] for g in now)
+        now = set(levels[size])
+
+    def shared(g):
+        if not g:
+            return 1 / (1 << toxicity.BITS)
+        c = levels[len(g)]
+        d, all_, kinds = discount(c), sum(v for k, v in c.items() if k[:-1] == g[:-1]), sum(k[:-1] == g[:-1] for k in c)
+        return (c[g] - d) / all_ + d * kinds / all_ * shared(g[1:])
+
+    out = {}
+    for h in {g[:-1] for g in seen}:
+        left, own = [], []
+        for c in counts:
+            d, all_, kinds = discount(c), sum(v for k, v in c.items() if k[:-1] == h), sum(k[:-1] == h for k in c)
+            left.append(d * kinds / all_ if all_ else 1.0)
+            own.append(lambda g, c=c, d=d, a=all_: (c[g] - d) / a if c[g] else 0.0)
+        out[h] = np.log(left[1] / left[0])
+        for g in (g for g in seen if g[:-1] == h):
+            like = [f(g) + x * shared(g[1:]) for f, x in zip(own, left, strict=True)]
+            out[g] = np.log(like[1] / like[0])
+    return out
+
+
+TALK = [("you are a clown and a fool", 1), ("the fool on the hill", 0), ("clown shoes and a red nose", 0), ("you clown you fool", 1), ("a walk up the hill with you", 0), ("été en été", 1)]
+
+
+def test_toxicity_models_by_hand(docs_of):
+    docs = docs_of([(i, t) for i, (t, _) in enumerate(TALK)]).withColumn("cls", F.element_at(F.array(*[F.lit(c) for _, c in TALK]), (F.col("doc_id") + 1).cast("int"))).withColumn("tuned", F.lit(False))
+    counts = toxicity.count(docs)
+    totals = counts.agg(F.sum("n0"), F.sum("n1"), F.sum("t0")).first()
+    assert tuple(totals) == (*[sum(len(ngrams_by_hand(t)) for t, c in TALK if c == cls) for cls in (0, 1)], 0)
+    got = {r["key"]: r["ratio"] for r in toxicity.fit(counts).collect()}
+    mark = 1 << (toxicity.BITS * toxicity.ORDER)
+    want = {code_of(g) | (mark if len(g) < toxicity.ORDER else 0): x for g, x in kneser_ney(TALK).items()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_lookup_finds_every_key():
+    rng = np.random.Generator(np.random.PCG64(4))
+    keys = np.unique(rng.integers(0, 1 << 36, 5000))
+    table = toxicity.Lookup(keys, np.arange(len(keys), dtype=np.float32) + 1)
+    asked = np.r_[keys, rng.integers(0, 1 << 36, 5000)]
+    ratio, found = table.of(asked)
+    place = {int(k): i + 1 for i, k in enumerate(keys)}
+    assert [float(x) for x in ratio] == [float(place.get(int(k), 0)) for k in asked]
+    assert list(found) == [int(k) in place for k in asked]
+    assert not toxicity.Lookup(keys[:0], np.zeros(0, np.float32)).of(asked)[1].any()
+
+
+def test_a_large_model_is_joined(odd_docs, spark, monkeypatch):
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 0), (8, 1), (9, 0), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(toxicity.labelled(odd_docs, labels, "toxic"))
+    model.weights[:] = np.linspace(-1, 1, toxicity.FEATURES)
+    found = []
+    for most in (toxicity.SENT_ENTRIES, 0):
+        monkeypatch.setattr(toxicity, "SENT_ENTRIES", most)
+        found.append(sorted((str(r["doc_id"]), str(r["text"]), round(r["score"], 5)) for r in toxicity.compare(odd_docs, model).collect()))
+    assert found[0] == found[1]
+    assert len({x[2] for x in found[0]}) > 1
 
 
 def test_models_of_odd_rows(odd_docs, no_docs, spark):
@@ -160,6 +244,24 @@ def test_models_of_odd_rows(odd_docs, no_docs, spark):
         assert quality_cnn.score(no_docs, net).count() == 0
 
 
+def test_training_takes_every_chunk():
+    for n in (0, 1, 7, 8, 255, 256, 262, 263, 264, 512, 520, 700, 5000):
+        rng = np.random.Generator(np.random.PCG64(n))
+        raw = rng.integers(97, 120, n).astype(np.uint8)
+        net = quality_cnn._train([b"a b c", b"zzzz" * 300], np.array([1, 0], np.float32), 1)
+        _, begin, places = quality_cnn.chunks_of(np.array([n]))
+        answers = quality_cnn.convolve(raw, net)
+        own = np.stack([answers[b // quality_cnn.STRIDE :][:p].max(0) for b, p in zip(begin, places, strict=True)])
+        assert np.allclose(own, quality_cnn.chunk_maxima(answers))
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    raw, offs = _text.texts(pa.array(["the été cat " * 700]))
+    whole = langid._counted(raw, offs)
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    assert all((a == b).all() for a, b in zip(whole, langid.counted(raw, offs), strict=True))
+
+
 def test_pooling_covers_the_whole_text():
     rng = np.random.Generator(np.random.PCG64(1))
     net = quality_cnn.Network(rng.normal(0, 1, (256, quality_cnn.EMBED)).astype(np.float32), rng.normal(0, 1, (quality_cnn.WIDTH * quality_cnn.EMBED, quality_cnn.FILTERS)).astype(np.float32), np.zeros(quality_cnn.FILTERS, np.float32), np.zeros(2 * quality_cnn.FILTERS + 1, np.float32))

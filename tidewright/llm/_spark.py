@@ -42,6 +42,14 @@ def packed(docs: DataFrame, *names: str) -> Column:
     return F.struct(*[docs[f"`{c}`"] for c in others(docs, *names)])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, longer if a column is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     """Write `df` as a Parquet table in the shared folder and read it back; returns it with its path.
 
@@ -110,4 +118,4 @@ def probably_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
             hit = ((words[p >> 6] >> (p & 63)) & 1).all(1)
             yield batch.select(columns).filter(pa.array(hit))
 
-    return df.select(*columns, probes(F.col(key)).alias("_probes")).mapInArrow(run, df.schema)
+    return df.select(*columns, probes(F.col(key)).alias(fresh(df, "probes"))).mapInArrow(run, df.schema)
