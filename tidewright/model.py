@@ -38,6 +38,7 @@ SEGMENTS = T.StructType(
         T.StructField("tier", T.StringType()),
         T.StructField("home", T.LongType()),
         T.StructField("distinct", T.BooleanType()),
+        T.StructField("mates", T.LongType()),
     ]
 )
 BINDINGS = T.StructType([T.StructField("topic", T.StringType()), T.StructField("series", T.LongType()), T.StructField("durable", T.BooleanType()), T.StructField("field", T.StringType())])

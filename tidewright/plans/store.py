@@ -102,13 +102,14 @@ class SegmentStore:
     def _place(self, tier: str, home: int) -> str:
         return f"{self.root if tier == 'local' else self.cold}/data/home={home:09d}"
 
-    def _write(self, rows: DataFrame, tier: str, home: int) -> None:
+    def _write(self, rows: DataFrame, tier: str, home: int, placed: bool = False) -> None:
         """Rows clustered by series and time, so that Parquet's own statistics prune them, in one pass.
 
-        The rebalancing shuffle merges small partitions and splits a hot series over many files.
+        Unless they are `placed` by ranges of these, a rebalancing shuffle merges small partitions and splits a hot series over many files.
         """
         rows = rows.withColumn("home", F.lit(home).cast("long")).select("series", "ts", "value", "seg_seq", "seq", "home")
-        rows.hint("rebalance", "series").sortWithinPartitions("series", "ts", "seg_seq", "seq").write.parquet(self._place(tier, home))
+        rows = rows if placed else rows.hint("rebalance", "series")
+        rows.sortWithinPartitions("series", "ts", "seg_seq", "seq").write.parquet(self._place(tier, home))
 
     def next_home(self, catalog: DataFrame) -> int:
         top = catalog.agg(F.max("home"), F.max("seg_seq")).first()
@@ -121,13 +122,15 @@ class SegmentStore:
         """Write (series, ts, value, seq) as one segment a series, the first writer of each ts only; returns their number."""
         base, catalog = self.version(), self.catalog()
         home = self.next_home(catalog)
-        best = rows.select("series", "ts", "value", "seq").groupBy("series", "ts").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
-        best = best.withColumn("seg_seq", F.lit(home).cast("long"))
-        self._write(best, "local", home)
+        # Ranges of (series, ts) bring the writers of one ts together, split a hot series and order the files, in one shuffle.
+        dealt = rows.select("series", "ts", "value", "seq").repartitionByRange("series", "ts")
+        best = dealt.groupBy("series", "ts").agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
+        self._write(best.withColumn("seg_seq", F.lit(home).cast("long")), "local", home, placed=True)
         made = self._entries(home, "local").withColumn("distinct", F.lit(True)).persist()
         try:
-            self._commit(catalog.unionByName(made), base)
-            return made.count()
+            n = made.count()
+            self._commit(catalog.unionByName(made.withColumn("mates", F.lit(n).cast("long"))), base)
+            return n
         finally:
             made.unpersist()
 
@@ -142,13 +145,16 @@ class SegmentStore:
         homes = segments.select("tier", "home").distinct().collect()
         if not homes:
             return self.spark.createDataFrame([], _ROWS)
+        return self._open(homes).join(segments.select("series", "seg_seq", "home"), ["series", "seg_seq", "home"], "left_semi")
+
+    def _open(self, homes: list) -> DataFrame:
+        """The rows of whole directories (tier, home)."""
         for h in homes:
             if h["tier"] != "local" and not self.cold:
                 raise NotFoundError("a segment is archived, but there is no cold tier")
             if not self._exists(self._place(h["tier"], h["home"])):
                 raise NotFoundError(f"missing: {self._place(h['tier'], h['home'])}")
-        rows = self.spark.read.schema(_ROWS).parquet(*[self._place(h["tier"], h["home"]) for h in homes])
-        return rows.join(segments.select("series", "seg_seq", "home"), ["series", "seg_seq", "home"], "left_semi")
+        return self.spark.read.schema(_ROWS).parquet(*[self._place(h["tier"], h["home"]) for h in homes])
 
     def samples(self, series: int | None, t0: int, t1: int, pred: Pred | None = None) -> DataFrame:
         """Rows of the range with their provenance: catalog pruning first, the filters pushed into Parquet second."""
@@ -161,10 +167,16 @@ class SegmentStore:
         Series whose surviving segments do not overlap in time and have one writer for each ts need no deduplication: they
         are a plain Parquet scan. The zone maps say which; only the others are shuffled.
         """
-        found = prune(self.catalog(), series, t0, t1, pred)
+        catalog = self.catalog()
+        found = prune(catalog, series, t0, t1, pred)
         before = Window.partitionBy("series").orderBy("min_ts", "seg_seq").rowsBetween(Window.unboundedPreceding, -1)
         marked = found.withColumn("_meets", ~F.col("distinct") | F.coalesce(F.max("max_ts").over(before) >= F.col("min_ts"), F.lit(False)))
         marked = marked.withColumn("_mixed", F.max("_meets").over(Window.partitionBy("series"))).drop("_meets")
+        # One row for each directory: whether all that was written there is still in the catalog, and whether a series needs deduplication.
+        live = catalog.groupBy("tier", "home").agg((F.count("*") == F.max("mates")).alias("whole"))
+        homes = marked.groupBy("tier", "home").agg(F.max("_mixed").alias("mixed")).join(live, ["tier", "home"]).collect()
+        if homes and all(h["whole"] and not h["mixed"] for h in homes):
+            return in_range(self._open(homes), t0, t1, pred, series).select("series", "ts", "value")
         rows = lambda which: in_range(self.read(which.drop("_mixed")), t0, t1, pred, series)
         plain = rows(marked.filter(~F.col("_mixed"))).select("series", "ts", "value")
         mixed = marked.filter("_mixed")
@@ -182,7 +194,7 @@ class SegmentStore:
             return 0
         home = self.next_home(catalog)
         self._write(self.read(old), "cold", home)
-        made = self._entries(home, "cold").join(old.select("name", "distinct"), "name")
+        made = self._entries(home, "cold").join(old.select("name", "distinct"), "name").withColumn("mates", F.lit(n).cast("long"))
         self._commit(catalog.join(old.select("name"), "name", "left_anti").unionByName(made), base)
         return n
 
@@ -204,7 +216,7 @@ class SegmentStore:
         merged = self.read(plan).withColumn("seq", rank.cast("long")).withColumn("seg_seq", F.lit(home).cast("long"))
         self._write(merged, "local", home)
         most = self.spark.read.schema(_ROWS).parquet(self._place("local", home)).groupBy("series").agg((F.max("seq") == 0).alias("distinct"))
-        made = self._entries(home, "local").join(most, "series")
+        made = self._entries(home, "local").join(most, "series").withColumn("mates", F.lit(inputs[1]).cast("long"))
         self._commit(catalog.join(plan.select("name"), "name", "left_anti").unionByName(made), base)
         return {"runs": 1, "input_segments": inputs[0], "output_segments": inputs[1], "rows": inputs[2]}
 

@@ -645,7 +645,7 @@ _ZONES_SQL = "min(ts) AS min_ts, max(ts) AS max_ts, min(value) AS min_val, max(v
 
 @register("store_catalog", f"WITH {S}, {SEALED_SQL} SELECT 'seg-' || lpad(CAST(seg_seq AS VARCHAR), 6, '0') || '-s' || CAST(series AS VARCHAR) || '.seg' AS name, series, seg_seq, {_ZONES_SQL}, 'local' AS tier FROM Q GROUP BY series, seg_seq")
 def store_catalog(s: DataFrame) -> DataFrame:
-    return _sealed(s).catalog().drop("home", "distinct")
+    return _sealed(s).catalog().drop("home", "distinct", "mates")
 
 
 @register("store_compacted_catalog", f"WITH {S}, {SEALED_SQL}, M AS (SELECT series, count(DISTINCT seg_seq) AS parts, max(seg_seq) AS last, {_ZONES_SQL} FROM Q GROUP BY series) SELECT series, CASE WHEN parts > 1 THEN 4 ELSE last END AS seg_seq, min_ts, max_ts, min_val, max_val, count FROM M")
