@@ -121,6 +121,40 @@ def test_mix_meets_targets_and_limits(spark):
     assert max(shards.values()) < 2 * min(shards.values())  # equal numbers of blocks, of 16 documents on average
 
 
+def test_the_tree_places_what_is_taken(spark, monkeypatch):
+    """Every (source, block, pass) goes where the tree's quotas say, and another tree gives other rows."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    drawn = []
+    tree = mixing.split_quotas
+
+    def watched(quota, capacity, seed):
+        drawn.append(tree(quota, capacity, seed))
+        return drawn[-1]
+
+    monkeypatch.setattr(mixing, "split_quotas", watched)
+    rows = mixing.mix(docs, 4, block_docs=50).collect()
+    # A block is known by its documents: those of a source with the same hash range share all their shards.
+    blocks = {s: -(-1000 // 50) for s in ("s0", "s1", "s2")}
+    key = {r["doc_id"]: r["k"] for r in docs.select("doc_id", F.shiftright(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), 20).alias("k")).collect()}
+    places = defaultdict(set)
+    for r in rows:
+        for turn, p in enumerate(r["places"]):
+            places[r["source"], key[r["doc_id"]] % blocks[r["source"]], turn].add(p["shard"])
+    assert all(len(v) == 1 for v in places.values())
+    got = Counter((next(iter(v)), k[0]) for k, v in places.items())
+    want = {(shard, f"s{i}"): int(n) for shard, line in enumerate(drawn[0]) for i, n in enumerate(line) if n}
+    short = {k: want[k] - got.get(k, 0) for k in want}  # a block that is taken in part may give nothing
+    assert set(short.values()) <= {0, 1}
+    assert sum(short.values()) <= 3
+    monkeypatch.setattr(mixing, "split_quotas", lambda quota, capacity, seed: tree(quota, capacity, seed + 1))
+    other = mixing.mix(docs, 4, block_docs=50).collect()
+    shards = lambda rows: sorted((r["doc_id"], [p["shard"] for p in r["places"]]) for r in rows)
+    assert shards(rows) != shards(other)
+    out = mixing.draw(mixing.mix(docs, 4, block_docs=50), docs.columns)
+    assert out.columns == docs.columns
+    assert out.count() == sum(len(r["places"]) for r in other)
+
+
 def test_mix_of_odd_rows(odd_docs, no_docs):
     rows = mixing.mix(odd_docs, 3).collect()
     assert len(rows) == 13
