@@ -12,7 +12,7 @@ from tidewright.functions.names import SplitMix64, bits_double, catalog_line, do
 from tidewright.model import CorruptError, EpisodeSpec, TimeSpan
 from tidewright.operators import quality, resample, stats
 from tidewright.operators.predicates import Pred, aggregate_all
-from tidewright.operators.scan import dedup, first_and_last, latest, merge, scan, window
+from tidewright.operators.scan import blocked, running, dedup, first_and_last, latest, merge, scan, window
 
 NAN = float("nan")
 
@@ -224,3 +224,15 @@ def test_pareto_fit_needs_fifty_excesses(spark):
     v = sum((x - m) ** 2 for x in e) / len(e)
     assert math.isclose(row["xi"], 0.5 * (1 - m * m / v))
     assert math.isclose(row["beta"], 0.5 * m * (m * m / v + 1))
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10**6])
+def test_blocks_do_not_change_running_sums(samples, rows):
+    times = [(s, t) for s in (1, 2) for t in sorted({(i * i * 37) % 1009 * s for i in range(60)})]
+    df = samples([(s, t, t % 7) for s, t in times])
+    got = {(r["series"], r["ts"]): r["total"] for r in running(blocked(df, rows), "value", "total").collect()}
+    for s in (1, 2):
+        total = 0
+        for _, t in (x for x in times if x[0] == s):
+            total += t % 7
+            assert got[s, t] == total

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.align import period_ns
 from ..functions.names import double_bits, fnv1a
 from ..model import NANOS
-from .scan import dedup, in_range
+from .scan import blocked, dedup, in_range, running
 
 #: A gap of more than so many periods is an interruption.
 GAP_PERIODS = 10
@@ -19,8 +19,15 @@ TOLERANCE = 3
 
 
 def with_gap(df: DataFrame) -> DataFrame:
-    """Adds `gap`: nanoseconds since the series' sample before, null at its first."""
-    return df.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("series").orderBy("ts")))
+    """Adds `gap`: nanoseconds since the series' sample before, null at its first.
+
+    A series is gone through in blocks of time; a block's first sample has its predecessor from a table of the blocks' ends.
+    """
+    blocks = blocked(df)
+    before = F.lag("last").over(Window.partitionBy("series").orderBy("block"))
+    ends = blocks.groupBy("series", "block").agg(F.max("ts").alias("last")).select("series", "block", before.alias("last"))
+    inside = F.lag("ts").over(Window.partitionBy("series", "block").orderBy("ts"))
+    return blocks.withColumn("prior", inside).join(ends, ["series", "block"]).select(*df.columns, (F.col("ts") - F.coalesce("prior", "last")).alias("gap"))
 
 
 def gap_report(df: DataFrame) -> DataFrame:
@@ -31,9 +38,10 @@ def gap_report(df: DataFrame) -> DataFrame:
 
 def sessions(df: DataFrame, period: Column | int) -> DataFrame:
     """(series, session, start, end, samples): runs without an interruption, numbered from 0."""
-    cut = F.col("gap") > F.lit(period) * GAP_PERIODS if isinstance(period, int) else F.col("gap") > period * GAP_PERIODS
-    run = F.sum(F.coalesce(cut, F.lit(False)).cast("long")).over(Window.partitionBy("series").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return with_gap(dedup(df)).withColumn("session", run).groupBy("series", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("samples"))
+    limit = (F.lit(period) if isinstance(period, int) else period) * GAP_PERIODS
+    cut = F.coalesce(F.col("gap") > limit, F.lit(False)).cast("long")
+    rows = running(blocked(with_gap(dedup(df)).withColumn("cut", cut)), "cut", "session")
+    return rows.groupBy("series", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("samples"))
 
 
 def episode_window(markers: DataFrame) -> DataFrame:

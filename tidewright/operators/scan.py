@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..model import TimeSpan
 from .predicates import Pred, aggregate_all, fold
 
+#: Samples of a series that are sorted together, on average.
+BLOCK_ROWS = 200_000
 PROVENANCE = ("layer", "seg_seq", "seq")
 
 
@@ -91,7 +93,27 @@ def merge(*segments: DataFrame) -> DataFrame:
     return out.repartition("series").sortWithinPartitions("series", "ts", "seg_seq", "seq")
 
 
+def blocked(df: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds `block`: the number of an equal share of its series' time, so many that one holds `rows` samples on average.
+
+    Windows over blocks sort no whole series; what passes from block to block is taken from a table of a row a block.
+    """
+    ends = df.groupBy("series").agg(F.min("ts").alias("begin"), F.max("ts").alias("stop"), F.count("*").alias("n"))
+    width = F.greatest(F.lit(1.0), F.ceil((F.col("stop").cast("double") - F.col("begin").cast("double") + 1) * rows / F.col("n"))).cast("long")
+    ends = ends.select("series", "begin", width.alias("width"))
+    return df.join(ends, "series").select(*df.columns, F.floor((F.col("ts") - F.col("begin")) / F.col("width")).cast("long").alias("block"))
+
+
+def running(df: DataFrame, value: str, name: str) -> DataFrame:
+    """`blocked` rows with `name`, the sum of `value` over the samples of their series up to theirs; without `block`."""
+    before = Window.partitionBy("series").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    enter = df.groupBy("series", "block").agg(F.sum(value).alias("enter")).select("series", "block", F.coalesce(F.sum("enter").over(before), F.lit(0)).alias("enter"))
+    inside = Window.partitionBy("series", "block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumn(name, F.sum(value).over(inside)).join(enter, ["series", "block"])
+    return summed.withColumn(name, F.col(name) + F.col("enter")).drop("block", "enter")
+
+
 def chunks(df: DataFrame, length: int) -> DataFrame:
     """Adds `chunk` and `place`: runs of `length` visible samples of a series."""
-    rank = F.row_number().over(Window.partitionBy("series").orderBy("ts")) - 1
-    return dedup(df).withColumn("chunk", F.floor(rank / length).cast("long")).withColumn("place", (rank % length).cast("long"))
+    ranked = running(blocked(dedup(df)).withColumn("one", F.lit(1).cast("long")), "one", "rank").withColumn("rank", F.col("rank") - 1)
+    return ranked.select("series", "ts", "value", F.floor(F.col("rank") / length).cast("long").alias("chunk"), (F.col("rank") % length).cast("long").alias("place"))
