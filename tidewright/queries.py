@@ -410,7 +410,14 @@ def fnv_digest(s: DataFrame) -> DataFrame:
     return quality.digest(s)
 
 
-register("lru_simulation", None)(lambda s: simulate(s, 500))
+#: One step a write; t holds a struct for each series in memory: its id, its last write and its samples.
+LRU_SQL = f"""WITH RECURSIVE {S}, W AS (SELECT row_number() OVER (ORDER BY seq) AS i, CAST(seq AS BIGINT) AS seq, series FROM S),
+R AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(s BIGINT, l BIGINT, n BIGINT)[]) AS t, CAST(0 AS BIGINT) AS size, CAST(NULL AS BIGINT) AS victim
+  UNION ALL SELECT i, list_append(list_filter(t, lambda x: x.s <> series), {{'s': series, 'l': i, 'n': 1 + coalesce(list_sum(list_transform(list_filter(t, lambda x: x.s = series), lambda x: x.n)), 0)::BIGINT}}), size - gone + 1, victim
+  FROM (SELECT W.i, series, R.size, CASE WHEN full_ THEN list_filter(R.t, lambda x: x.l <> low) ELSE R.t END AS t, CASE WHEN full_ THEN list_filter(R.t, lambda x: x.l = low)[1].n ELSE 0 END AS gone, CASE WHEN full_ THEN list_filter(R.t, lambda x: x.l = low)[1].s END AS victim
+    FROM (SELECT *, size >= 500 AS full_, list_min(list_transform(t, lambda x: x.l)) AS low FROM R) R JOIN W ON W.i = R.i + 1))
+SELECT seq, series, R.victim FROM R JOIN W ON W.i = R.i"""
+register("lru_simulation", LRU_SQL)(lambda s: simulate(s, 500))
 
 
 # --- statistics ---
