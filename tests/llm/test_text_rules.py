@@ -1,6 +1,5 @@
 """Repetition rules, language ID, toxicity and quality."""
 
-import random
 import re
 from collections import Counter
 
