@@ -147,7 +147,8 @@ def candidates(passage: np.ndarray, which: np.ndarray, index: Index) -> tuple[np
     WAND with block-max bounds, for many passages side by side:
     1. A passage whose terms' largest impacts together reach no item's threshold is skipped.
     2. A passage's terms are taken by rising largest impact. Up to the pivot, where their sum reaches the lowest threshold, they cannot
-       make a hit alone; so only the blocks of the terms from the pivot on are looked at, and long lists of common terms are not read.
+       make a hit alone; so only the blocks of the terms from the pivot on are looked at, and long lists of common terms are not read
+       (unless they are hardly longer in all, as in a small index).
     3. Such a block is skipped if the block's own bounds for all the passage's terms do not reach the block's lowest threshold.
     4. Only the postings of blocks that are left are added up.
     """
@@ -165,11 +166,14 @@ def candidates(passage: np.ndarray, which: np.ndarray, index: Index) -> tuple[np
     last = first + count - 1
     alive = np.repeat(upto[last] >= floor, count)
     essential = np.flatnonzero(alive & (upto >= floor))
-    # Blocks of the terms from the pivot on, once a passage.
     group = np.repeat(np.arange(len(first)), count)
-    lists = index.cells[which[essential]]
-    at, run = _expand(lists, index.cells[which[essential] + 1] - lists)
-    pair = np.unique(group[essential][run] * blocks + index.cell[at] % blocks)
+    lists, sizes = index.cells[which], index.cells[which + 1] - index.cells[which]
+    if sizes[alive].sum() <= 8 * sizes[essential].sum():
+        # Nearly as few cells in all: their bounds are added up straight away.
+        pair = _bounded(group[alive], lists[alive], sizes[alive], index)
+    else:
+        at, run = _expand(lists[essential], sizes[essential])
+        pair = np.unique(group[essential][run] * blocks + index.cell[at] % blocks)
     out = [none]
     step = 200_000
     ends = np.cumsum(count[pair // blocks])
@@ -194,6 +198,26 @@ def candidates(passage: np.ndarray, which: np.ndarray, index: Index) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _bounded(group: np.ndarray, lists: np.ndarray, sizes: np.ndarray, index: Index) -> np.ndarray:
+    """passage * blocks + block of all blocks whose bounds for the terms of a passage reach their lowest threshold; group: of each term, rising."""
+    blocks, out, lo = len(index.lowest), [np.zeros(0, np.int64)], 0
+    done = np.cumsum(sizes)
+    most = max(1, 4_000_000 // blocks)
+    while lo < len(group):
+        stop = min(int(np.searchsorted(group, group[lo] + most)), int(np.searchsorted(done, (done[lo - 1] if lo else 0) + 2_000_000, "right")))
+        hi = len(group) if stop >= len(group) else int(np.searchsorted(group, group[max(stop, lo + 1) - 1]))
+        if hi <= lo:  # one passage alone
+            hi = int(np.searchsorted(group, group[lo], "right"))
+        own, base = slice(lo, hi), group[lo]
+        at, run = _expand(lists[own], sizes[own])
+        key = (group[own][run] - base) * blocks + index.cell[at] % blocks
+        passages = int(group[hi - 1] - base) + 1
+        sums = np.bincount(key, index.bound[at], passages * blocks).reshape(passages, blocks)
+        out.append(np.flatnonzero(sums >= index.lowest * 0.9999) + base * blocks)
+        lo = hi
+    return np.concatenate(out)
+
+
 def search(raw: np.ndarray, offs: np.ndarray, index: Index, overlap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, item's place and score of every verified hit of every passage of every row, a row's item once (best score)."""
     term, row = terms(raw, offs)
