@@ -147,7 +147,8 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, cycle: tuple[int, ...]
         F.size(F.filter("_ends", lambda e: e <= p.cast("long") * F.col("_n") + F.col("_at"))).alias("shard"),
         F.xxhash64(F.col("_key"), p, F.lit(seed + 2)).alias("rank"),
     )
-    return out.select(*[F.col("_row")[c].alias(c) for c in names], "size", "source_size", "target", "copies", F.transform(passes, place).alias("places"))
+    out = out.withColumn("places", F.transform(passes, place))  # before the input's columns get their names back
+    return out.select(*[F.col("_row")[c].alias(c) for c in names], "size", "source_size", "target", "copies", "places")
 
 
 def draw(mixed: DataFrame, columns: list[str]) -> DataFrame:
