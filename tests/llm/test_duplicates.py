@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -321,6 +322,24 @@ def test_fuzzy_lines_meet_by_edits_alone(docs_of):
     assert all(lost[n] <= 0.1 * every[n] for n in every), (every, lost)
 
 
+def test_normal_forms_by_hand_in_little_memory():
+    odd = [None, "", "\n", "a\n", "\na", "--", "A9 é.\n\n x ", "日本 語", "  ", " a b ", None]
+    rng = random.Random(41)
+    odd += ["".join(rng.choice("aB7 é.\n日") for _ in range(rng.randrange(30))) for _ in range(300)]
+    x = line_dedup.normalised(*_text.texts(pa.array(odd)))
+    every = [(row, number, norm(line)) for row, t in enumerate(odd) for number, line in enumerate(t.split("\n") if t else [])]
+    assert list(zip(x.row.tolist(), x.number.tolist(), strict=True)) == [k[:2] for k in every]
+    assert x.count.tolist() == [len(t.split("\n")) if t else 0 for t in odd]
+    assert [(int(x.row[k]), int(x.number[k]), n.decode()) for k, n in zip(x.some, x.norm, strict=True)] == [k for k in every if k[2]]
+    assert x.chars.tolist() == [len(n.decode()) for n in x.norm]
+    raw, offs = _text.texts(pa.array(["some Words of 7 letters, in a line. " * 10 + "\n"] * 3000))
+    tracemalloc.start()
+    line_dedup.normalised(raw, offs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(raw)
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(600):
