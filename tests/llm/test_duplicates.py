@@ -322,6 +322,49 @@ def test_fuzzy_lines_meet_by_edits_alone(docs_of):
     assert all(lost[n] <= 0.1 * every[n] for n in every), (every, lost)
 
 
+def test_sketches_tell_lines_apart():
+    """Of unlike lines hardly any pair is left to edit distances, of edited lines nearly every one."""
+    rng = random.Random(51)
+    syllables = ["".join(rng.choice("etaoinshrd") for _ in range(rng.randrange(1, 4))) + rng.choice(["", "", " "]) for _ in range(60)]
+    lines = ["".join(rng.choice(syllables) for _ in range(150)) for _ in range(300)]
+    edited = ["".join(rng.choice("qxz") if rng.random() < 0.05 else c for c in x) for x in lines]
+    raw, offs = _text.texts(pa.array(lines + edited))
+    sketch = line_dedup.sketches(raw, offs[:-1], offs[1:]).view(np.uint64)
+    i, j = np.triu_indices(300, 1)
+    unlike = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= line_dedup.FAR
+    alike = np.bitwise_count(sketch[:300] ^ sketch[300:]).sum(1) <= line_dedup.FAR
+    assert unlike.mean() < 0.02, unlike.mean()
+    assert alike.mean() > 0.98, alike.mean()
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 20])
+def test_buckets_in_parts(held, monkeypatch):
+    """Buckets of packed keys against brute force, with parts gone through at once and in many turns."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rng = random.Random(held)
+    rows = [(p, rng.randrange(40), rng.randrange(-30, 30)) for p in range(4) for _ in range(150)] + [(9, 5, 3)] * 4 + [(9, 6, i) for i in range(60)]
+    groups = defaultdict(set)
+    for part, key, node in rows:
+        groups[(part << 32) + key].add(node)
+    blobs = [(p, [r for r in rows if r[0] == p][at : at + 7]) for p in (0, 1, 2, 3, 9) for at in range(0, 150, 7)]
+    blobs = [(p, np.array([k for _, k, _ in b], np.uint32).tobytes() + np.array([n for _, _, n in b], np.int64).tobytes()) for p, b in blobs if b]
+
+    class Rows:
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, run, _):
+            step = [pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs[i : i + 5]], pa.int32()), pa.array([d for _, d in blobs[i : i + 5]], pa.binary())], ["part", "data"]) for i in range(0, len(blobs), 5)]
+            return pa.Table.from_batches(run(iter(step)), pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("least", pa.int64())])).to_pylist()
+
+    got, links = defaultdict(set), []
+    for r in line_dedup.shared_in_parts(Rows()):
+        got[r["bucket"]].add(r["node"])
+        links.append(((r["bucket"], r["node"]), (r["bucket"], r["least"])))
+    assert got == {b: g for b, g in groups.items() if len(g) > 1}
+    root = components({(b, n) for b, g in got.items() for n in g}, links)
+    assert all(len({root[b, n] for n in g}) == 1 for b, g in got.items())
+
+
 def test_normal_forms_by_hand_in_little_memory():
     odd = [None, "", "\n", "a\n", "\na", "--", "A9 é.\n\n x ", "日本 語", "  ", " a b ", None]
     rng = random.Random(41)
